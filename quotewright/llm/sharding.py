@@ -2,8 +2,8 @@
 
 Equal texts form a group that one shard holds whole. Groups are ordered by the SHA-256 of their text; the smallest
 shard capacity for which a greedy walk needs no more than ``shards`` shards is found by binary search, and the order is
-cut there. The driver never holds all groups: it first searches over sums of hash-prefix bins, which bounds each cut to
-a short window, and then reads only the windows at longer prefixes until each bin there is a single group.
+cut there. The driver never holds all groups: it first searches over sums of hash-prefix bins, which bounds the capacity
+and each cut from both sides, and then reads only the bins between the bounds at longer prefixes until the bounds agree.
 
 Defined results: a null text has size 1, CRC-32 zero and is grouped with the empty text; rows that repeat an id
 stay rows of their own; null ids come first within a group. With fewer groups than shards the last shards stay
@@ -18,33 +18,39 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-#: Hexadecimal digits by which a bin's prefix grows at each level: 65,536 bins to a bin of the level before.
-STEP_DIGITS = 4
-HASH_DIGITS = 64
+#: Hexadecimal digits by which a bin's prefix grows at each level: 4,096 bins to a bin of the level before.
+STEP_DIGITS = 3
+#: A group of at least this share of a mean shard is a bin of its own from the start; there are no more than shards times this.
+HEAVY_PARTS = 32
 
 
-def greedy_cuts(ends: np.ndarray, capacity: int, shards: int) -> list[int] | None:
-    """Cut positions (group counts) of the greedy walk over cumulative sizes, or None where ``capacity`` is too small."""
-    cuts, at = [], 0
+def walk(ends: np.ndarray, atomic: np.ndarray, capacity: int, shards: int, hopeful: bool) -> list[int]:
+    """Positions (cumulative sizes) where a greedy walk over bins cuts; the last is the total if all fits.
+
+    A bin that is not atomic holds several groups whose borders are not known: the hopeful walk cuts it anywhere, the
+    other one only at its ends, so the true walk lies between them.
+    """
+    total, at, out = int(ends[-1]), 0, []
     for _ in range(shards):
-        done = int(ends[at - 1]) if at else 0
-        upto = int(np.searchsorted(ends, done + capacity, side="right"))
-        if upto == at and at < len(ends):
-            return None
-        at = upto
-        cuts.append(at)
-    return cuts if at == len(ends) else None
-
-
-def minimax_capacity(ends: np.ndarray, shards: int, low: int = 1) -> int:
-    """The smallest capacity, ``low`` or more, with which the greedy walk fits cumulative sizes into ``shards`` shards."""
-    if not len(ends):
-        return low
-    high = max(low, int(ends[-1]))
-    low = max(low, -(-int(ends[-1]) // shards))
+        upto = at + capacity
+        if upto >= total:
+            at = total
+        else:
+            i = int(np.searchsorted(ends, upto, side="right"))
+            if not hopeful or atomic[i]:
+                upto = int(ends[i - 1]) if i else 0
+            at = max(at, upto)
+        out.append(at)
+    return out
+
+
+def least_capacity(ends: np.ndarray, atomic: np.ndarray, shards: int, low: int, hopeful: bool) -> int:
+    """By binary search the smallest capacity, ``low`` or more, with which the walk reaches the end."""
+    total = high = int(ends[-1])
+    low, high = min(low, total), max(low, total)
     while low < high:
         mid = (low + high) // 2
-        if greedy_cuts(ends, mid, shards) is None:
+        if walk(ends, atomic, mid, shards, hopeful)[-1] < total:
             low = mid + 1
         else:
             high = mid
@@ -54,52 +60,49 @@ def minimax_capacity(ends: np.ndarray, shards: int, low: int = 1) -> int:
 def shard_starts(groups: DataFrame, shards: int) -> list[str]:
     """For shards 1 and up, the first group key each holds; ``groups`` has (key, size) with hexadecimal keys.
 
-    A bin is known by its prefix and its total. ``floor`` is the greatest group, below which no capacity goes.
+    Each level bounds the least capacity from below (hopeful walk) and above (walk over whole bins), and so each cut to
+    a window; only bins in these windows are read again at a longer prefix, until the two bounds agree.
     """
-    floor = groups.agg(F.max("size")).first()[0]
-    if floor is None:
+    total, floor = groups.agg(F.sum("size"), F.max("size")).first()
+    if total is None:
         return []
-    digits = STEP_DIGITS
-
-    def bins(rows: DataFrame, n: int):
-        table = rows.groupBy(F.substring("key", 1, n).alias("bin")).agg(F.sum("size").alias("size"), F.count("*").alias("n")).toPandas().sort_values("bin")
-        return table["bin"].to_numpy(object), table["size"].to_numpy(np.int64), table["n"].to_numpy(np.int64)
+    heavy_size = max(1, -(-total // (shards * HEAVY_PARTS)))
+    heavy = sorted((r["key"], r["size"]) for r in groups.where(F.col("size") >= heavy_size).collect())
+    light = groups.where(F.col("size") < heavy_size)
+    after = F.lit("")
+    if heavy:
+        after = F.coalesce(F.concat(F.array_max(F.filter(F.array(*[F.lit(k) for k, _ in heavy]), lambda h: h < F.col("key"))), F.lit("~")), F.lit(""))
+
+    def bins(rows: DataFrame, digits: int) -> list[tuple]:
+        """(first key, size, whether it is one group) of light groups' bins: a common prefix, and no heavy group between."""
+        first = F.greatest(F.substring("key", 1, digits), after).alias("first")
+        return [(r["first"], r["size"], r["n"] == 1) for r in rows.groupBy(first).agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()]
 
-    keys, sizes, counts = bins(groups, digits)
+    digits = STEP_DIGITS
+    table = sorted([(k, n, True) for k, n in heavy] + bins(light, digits))
     while True:
-        ends = np.cumsum(sizes)
-        high = minimax_capacity(ends, shards, floor)
-        low = max(int(floor), -(-int(ends[-1]) // shards))
-        if (counts == 1).all() or digits >= HASH_DIGITS:
+        ends = np.cumsum(np.array([n for _, n, _ in table], np.int64))
+        begins = np.concatenate(([0], ends[:-1]))
+        atomic = np.array([one for _, _, one in table])
+        low = least_capacity(ends, atomic, shards, max(floor, -(-total // shards)), True)
+        high = least_capacity(ends, atomic, shards, low, False)
+        windows = []
+        for least, most in zip(walk(ends, atomic, low, shards, False), walk(ends, atomic, high, shards, True), strict=True):
+            inside = np.flatnonzero(~atomic & (ends > least) & (begins < most))
+            if len(inside):
+                windows.append((int(inside[0]), int(inside[-1]) + 1))
+        if low == high or not windows:
             break
-        # Where the walk of any capacity in [low, high] can cut: between the walk that loses a bin at each cut and the one that loses nothing.
-        window = np.zeros(len(ends), bool)
-        least = 0
-        for i in range(shards):
-            first = int(np.searchsorted(ends, least + low, side="right"))
-            last = int(np.searchsorted(ends, min((i + 1) * high, int(ends[-1])), side="left"))
-            window[first : last + 1] = True
-            least = int(ends[first - 1]) if first else 0
-        window &= counts > 1
-        if not window.any():
-            break
-        finer = groups.where(_within(F.col("key"), keys, window))
         digits += STEP_DIGITS
-        k, s, c = bins(finer, digits)
-        keys, sizes, counts = np.concatenate((keys[~window], k)), np.concatenate((sizes[~window], s)), np.concatenate((counts[~window], c))
-        order = np.argsort(keys.astype(str), kind="stable")
-        keys, sizes, counts = keys[order], sizes[order], counts[order]
-    cuts = greedy_cuts(np.cumsum(sizes), high, shards)
-    return [str(keys[c]) if c < len(keys) else "~" for c in cuts[:-1]]
-
-
-def _within(key, keys: np.ndarray, window: np.ndarray):
-    """Rows whose key's prefix lies in a run of chosen bins; there are no more runs than shards."""
-    edges = np.flatnonzero(np.diff(np.concatenate(([0], window.astype(np.int8), [0]))))
-    out = F.lit(False)
-    for a, b in zip(edges[::2], edges[1::2], strict=True):
-        out = out | key.between(str(keys[a]), str(keys[b - 1]) + "~")
-    return out
+        chosen, again = F.lit(False), set()
+        for a, b in windows:
+            chosen = chosen | ((F.col("key") >= table[a][0]) & (F.col("key") < (table[b][0] if b < len(table) else "~")))
+            again.update(range(a, b))
+        kept = [r for i, r in enumerate(table) if i not in again or r[1] >= heavy_size and r[2]]
+        table = sorted(kept + bins(light.where(chosen), digits))
+    keys = [k for k, _, _ in table]
+    cuts = np.searchsorted(begins, walk(ends, atomic, high, shards, False)[:-1], side="left")
+    return [keys[c] if c < len(keys) else "~" for c in cuts]
 
 
 def shard_documents(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
