@@ -65,7 +65,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     found = stored(full_hashes(docs, id_col, text_col, extra), "exact-full")
     more = list(extra or {})
     alike = found.where("full_hash IS NOT NULL")
-    groups = alike.groupBy("full_hash").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size"))
+    # Written, so that the join reads both sides from plain exchanges, which adaptive execution can split where a group is large.
+    groups = stored(alike.groupBy("full_hash").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size")), "exact-groups")
     kept = F.coalesce(F.col("keep_id") == F.col("id"), F.col("keep_id").isNull()).alias("kept")
     lone = found.where("full_hash IS NULL").select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), *more)
     return alike.join(groups, "full_hash").select("id", "keep_id", "group_size", kept, *more).union(lone)
