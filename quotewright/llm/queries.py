@@ -47,6 +47,13 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op6_chained_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring import repeated_passages
+
+    found = repeated_passages(_read(spark, sf_dir, "documents"))
+    return found.withColumnsRenamed({"id": "doc_id", "start": "start_word", "end": "end_word", "anchor": "first_doc_id", "anchor_start": "first_start_word", "anchor_end": "first_end_word"})
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import fit, held_out, score
 
@@ -78,7 +85,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_adaptive_ann, op3_toxicity, op4_token_files, op5_exact_dedup, op7_quality, op8_minimax_shards, op9_pack, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_adaptive_ann, op3_toxicity, op4_token_files, op5_exact_dedup, op6_chained_passages, op7_quality, op8_minimax_shards, op9_pack, op10_simhash)}
 
 ORACLE_SQL = {
     "op5_exact_dedup": """
