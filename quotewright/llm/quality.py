@@ -40,10 +40,10 @@ def _hashes(chunk: str) -> bytes:
 
 
 def features(text: str | None) -> np.ndarray:
-    """Distinct feature numbers of a text, below ``2 ** BITS``; first the intercept's, beyond them.
+    """Distinct feature numbers of a text, below ``2 ** BITS``; first the intercept's and the repeat step's, beyond them.
 
-    There is an intercept for each of ``REPEAT_STEPS`` shares of repeated pairs, as n-grams that never occurred before
-    in the sample say nothing of a text that says one thing again and again.
+    There is a step for each of ``REPEAT_STEPS`` shares of repeated pairs, as n-grams that never occurred in the sample
+    say nothing of a text that says one thing again and again.
     """
     if not _cache:
         _cache.append(ChunkCache(_hashes))
@@ -51,21 +51,22 @@ def features(text: str | None) -> np.ndarray:
     pairs = tokens[:-1] * np.uint32(0x9E3779B1) ^ tokens[1:]
     repeated = 1 - len(np.unique(pairs)) / len(pairs) if len(pairs) else 0.0
     found = np.unique(np.concatenate((tokens, pairs * np.uint32(0x85EBCA6B))) >> np.uint32(32 - BITS))
-    return np.concatenate(([np.uint32((1 << BITS) + int(repeated * REPEAT_STEPS))], found)).astype(np.uint32)
+    return np.concatenate(([1 << BITS, (1 << BITS) + 1 + int(repeated * REPEAT_STEPS)], found)).astype(np.uint32)
 
 
 def values(ids: np.ndarray) -> np.ndarray:
-    """The values that go with features: 1 for the intercept, and a unit vector."""
-    x = np.full(len(ids), 1 / np.sqrt(max(1, len(ids) - 1)))
-    x[0] = 1
+    """The values that go with features: 1 for the intercept and the step, and a unit vector."""
+    x = np.full(len(ids), 1 / np.sqrt(max(1, len(ids) - 2)))
+    x[:2] = 1
     return x
 
 
 class Ftrl:
-    """Per-coordinate FTRL-proximal logistic regression; the weights beyond ``2 ** BITS`` are the intercepts."""
+    """Per-coordinate FTRL-proximal logistic regression; those beyond ``2 ** BITS`` are the intercept's and the steps'."""
 
     def __init__(self):
-        self.z, self.n = np.zeros((1 << BITS) + REPEAT_STEPS), np.zeros((1 << BITS) + REPEAT_STEPS)
+        size = (1 << BITS) + 1 + REPEAT_STEPS
+        self.z, self.n = np.zeros(size), np.zeros(size)
 
     def weights(self, at=slice(None)) -> np.ndarray:
         z = self.z[at]
