@@ -38,6 +38,8 @@ def features_v1(bars: DataFrame, *carry: str) -> DataFrame:
     rows = rows.withColumn("mid_return_1", F.ln(close / F.lag("mid_close", 1).over(w)))
     last = w.rowsBetween(-71, 0)
     mean = F.sum(x).over(last) / 72
+    # A constant window has no variance, whatever its sums round to.
+    constant = F.max(x).over(last) == F.min(x).over(last)
     variance = F.greatest(F.sum(x * x).over(last) / 72 - mean * mean, F.lit(0.0))
     angle = 2 * F.pi() * F.pmod("bar_end", F.lit(86_400_000_000)).cast("double") / 86_400_000_000
     week = 2 * F.pi() * F.weekday(F.timestamp_micros("bar_end")) / 7
@@ -48,7 +50,7 @@ def features_v1(bars: DataFrame, *carry: str) -> DataFrame:
         "mid_return_12": F.ln(close / F.lag("mid_close", 12).over(w)),
         **{f"realized_volatility_{n}": when_full(F.sqrt(F.sum(square).over(w.rowsBetween(1 - n, 0))), "mid_return_1", w, n) for n in (12, 72)},
         "spread_bps": x,
-        "spread_zscore_72": when_full(F.when(variance > 0, (x - mean) / F.sqrt(variance)).otherwise(F.lit(0.0)), "spread_bps", w, 72),
+        "spread_zscore_72": when_full(F.when(~constant & (variance > 0), (x - mean) / F.sqrt(variance)).otherwise(F.lit(0.0)), "spread_bps", w, 72),
         "mid_range_bps": (F.col("mid_high") - F.col("mid_low")) / close * 10_000,
         "quote_count_log1p": F.log1p("quote_count"),
         "staleness_seconds": F.col("staleness_ns").cast("double") / 1e9,

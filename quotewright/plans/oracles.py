@@ -45,11 +45,11 @@ seg0 AS (SELECT *, bar_end - lag(bar_end) OVER (PARTITION BY symbol ORDER BY bar
 seg1 AS (SELECT *, sum(CASE WHEN step = {BAR} THEN 0 ELSE 1 END) OVER (PARTITION BY symbol ORDER BY bar_end) AS seg FROM seg0),
 seg2 AS (SELECT *, ln(mid_close / lag(mid_close, 1) OVER w) AS mid_return_1, ln(mid_close / lag(mid_close, 3) OVER w) AS mid_return_3, ln(mid_close / lag(mid_close, 12) OVER w) AS mid_return_12
     FROM seg1 WINDOW w AS (PARTITION BY symbol, seg ORDER BY bar_end)),
-feat AS (SELECT * EXCLUDE (seg, mean72, var72, n72),
-    CASE WHEN n72 = 72 THEN CASE WHEN var72 > 0 THEN (spread_bps - mean72) / sqrt(var72) ELSE 0e0 END END AS spread_zscore_72, seg
+feat AS (SELECT * EXCLUDE (seg, mean72, var72, n72, flat72),
+    CASE WHEN n72 = 72 THEN CASE WHEN var72 > 0 AND NOT flat72 THEN (spread_bps - mean72) / sqrt(var72) ELSE 0e0 END END AS spread_zscore_72, seg
     FROM (SELECT *, CASE WHEN count(mid_return_1) OVER w12 = 12 THEN sqrt(sum(mid_return_1 * mid_return_1) OVER w12) END AS realized_volatility_12,
         CASE WHEN count(mid_return_1) OVER w72 = 72 THEN sqrt(sum(mid_return_1 * mid_return_1) OVER w72) END AS realized_volatility_72,
-        count(*) OVER w72 AS n72, sum(spread_bps) OVER w72 / 72 AS mean72, greatest(sum(spread_bps * spread_bps) OVER w72 / 72 - (sum(spread_bps) OVER w72 / 72) * (sum(spread_bps) OVER w72 / 72), 0e0) AS var72,
+        count(*) OVER w72 AS n72, max(spread_bps) OVER w72 = min(spread_bps) OVER w72 AS flat72, sum(spread_bps) OVER w72 / 72 AS mean72, greatest(sum(spread_bps * spread_bps) OVER w72 / 72 - (sum(spread_bps) OVER w72 / 72) * (sum(spread_bps) OVER w72 / 72), 0e0) AS var72,
         (mid_high - mid_low) / mid_close * 10000 AS mid_range_bps, ln(1 + CAST(quote_count AS DOUBLE)) AS quote_count_log1p, staleness_ns / 1e9 AS staleness_seconds, step / 1e6 AS elapsed_seconds,
         sin(2 * pi() * (bar_end % 86400000000) / 86400e6) AS hour_sin, cos(2 * pi() * (bar_end % 86400000000) / 86400e6) AS hour_cos,
         sin(2 * pi() * (isodow(make_timestamp(bar_end)) - 1) / 7) AS weekday_sin, cos(2 * pi() * (isodow(make_timestamp(bar_end)) - 1) / 7) AS weekday_cos
