@@ -142,35 +142,45 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", where=None
     return fit_sample(sample_features(docs, labels, label_col, FIT_ROWS, features, where, id_col, text_col))
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, expected_severity, p_toxic, severity, toxic), one row for each row of ``docs``.
+def _scorer(model: Model):
+    """A function from texts to P(grade >= k), one row for each text.
 
-    The model has ``MOST_FEATURES`` weights at most. A worker remembers for each chunk of text only the features that
+    The model has ``MOST_FEATURES`` weights at most. A task remembers for each chunk of text only the features that
     the model holds, so most chunks add nothing.
     """
-    ids, weights, thresholds = model.ids, model.weights, model.thresholds
+    held = frozenset(model.ids.tolist())
+    cache = ChunkCache(lambda chunk: np.array([x for x in np.frombuffer(_chunk_features(chunk), "<u4").tolist() if x in held], "<u4").tobytes())
+    empty = model.exceed(np.zeros(0, np.uint32))
 
-    def run(batches):
-        mine = Model(thresholds, ids, weights)
-        held = frozenset(ids.tolist())
+    def exceed(texts: pa.Array) -> np.ndarray:
+        out = np.empty((len(texts), GRADES - 1))
+        for i, text in enumerate(texts):
+            found = cache.gather(set((text.as_py() or "").split()))
+            out[i] = model.exceed(np.unique(np.frombuffer(found, "<u4"))) if found else empty
+        return out
+
+    return exceed
 
-        def make(chunk: str) -> bytes:
-            found = np.frombuffer(_chunk_features(chunk), "<u4")
-            return np.array([x for x in found.tolist() if x in held], "<u4").tobytes()
 
-        cache = ChunkCache(make)
-        empty = mine.exceed(np.zeros(0, np.uint32))
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, expected_severity, p_toxic, severity, toxic), one row for each row of ``docs``."""
+
+    def run(batches):
+        exceed = _scorer(model)
         for batch in batches:
-            out = np.empty((batch.num_rows, GRADES - 1))
-            for i, text in enumerate(batch.column(1)):
-                found = cache.gather(set((text.as_py() or "").split()))
-                out[i] = mine.exceed(np.unique(np.frombuffer(found, "<u4"))) if found else empty
+            out = exceed(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.sum(axis=1)), pa.array(out[:, 0]), pa.array((out >= 0.5).sum(axis=1).astype(np.int32)), pa.array(out[:, 0] >= 0.5)], ["id", "expected_severity", "p_toxic", "severity", "toxic"])
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col)).mapInArrow(run, "id long, expected_severity double, p_toxic double, severity int, toxic boolean")
 
 
-def drop_toxic(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with all its columns, without rejected documents; rows with null ids stay."""
-    gone = score(docs, model, id_col, text_col).where("toxic").select(F.col("id").alias(id_col)).where(F.col(id_col).isNotNull()).distinct()
-    return docs.join(gone, id_col, "left_anti")
+def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """``docs`` with all its columns, without rejected documents: one pass, no shuffle."""
+    place = docs.columns.index(text_col)
+
+    def run(batches):
+        exceed = _scorer(model)
+        for batch in batches:
+            yield batch.filter(pa.array(exceed(batch.column(place))[:, 0] < 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
