@@ -60,14 +60,14 @@ class ChunkCache(dict):
     table is emptied when full and long chunks never enter it.
     """
 
-    def __init__(self, make: Callable[[str], bytes]):
+    def __init__(self, make: Callable[[str], bytes], entries: int = CACHE_ENTRIES // 2):
         super().__init__()
-        self.make = make
+        self.make, self.entries = make, entries
 
     def __missing__(self, chunk):
         value = self.make(chunk)
         if len(chunk) <= CACHE_CHUNK_CHARS:
-            if len(self) >= CACHE_ENTRIES:
+            if len(self) >= self.entries:
                 self.clear()
             self[chunk] = value
         return value

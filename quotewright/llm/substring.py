@@ -36,6 +36,8 @@ GAP_COST = 0.1
 MAX_GAP = 40
 #: Words beyond a piece's ends that alignment may take in.
 REACH = 96
+#: Words whose hashes a worker remembers; a hash costs little more than a look-up.
+CACHE_WORDS = 100_000
 #: Outward alignment passes a mismatch if this many words agree again within so few skipped words.
 RESYNC, SKIP = 4, 4
 
@@ -56,7 +58,7 @@ def seeds_of(words: list[bytes]):
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     if not _cache:
-        _cache.append(ChunkCache(lambda w: xxhash.xxh64_digest(w)))
+        _cache.append(ChunkCache(lambda w: xxhash.xxh64_digest(w), CACHE_WORDS))
     own = np.frombuffer(_cache[0].gather(words), "<u8")
     kmers = np.zeros(n, np.uint64)
     for j in range(K):
