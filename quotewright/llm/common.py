@@ -79,8 +79,8 @@ class ChunkCache(dict):
 def connected_components(edges: DataFrame, label: str) -> DataFrame:
     """(node, component) for undirected ``edges`` (a, b) of non-null longs; the component is its smallest node.
 
-    Alternating large-star and small-star rounds. Minima are aggregated before the shuffle and joined back,
-    so a node with very many neighbours never has to sit in one task, and each round is a written table.
+    Alternating large-star and small-star rounds. Minima are aggregated before the shuffle, written, and joined
+    back, so that adaptive execution can split the rows of a node with very many neighbours; each round is a written table.
     Only two numbers a round (row count and a hash sum) reach the driver. Self loops are allowed and name
     isolated nodes; null ends are dropped.
     """
@@ -91,16 +91,17 @@ def connected_components(edges: DataFrame, label: str) -> DataFrame:
     before = None
     while True:
         both = now.union(now.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), f"{label}-least")
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = stored(large, f"{label}-cc")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        discard(least)
+        least = stored(large.groupBy("u").agg(F.min("v").alias("m")), f"{label}-least")
         small = large.join(least, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", "m")).where("u <> v").distinct()
         small = stored(small, f"{label}-cc")
         state = tuple(small.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
-        discard(large)
-        discard(now)
+        for done in (large, least, now):
+            discard(done)
         now = small
         if state == before:
             break
