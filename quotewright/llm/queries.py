@@ -75,7 +75,7 @@ def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
     packed = pack(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=2048)
-    return packed.withColumnRenamed("id", "doc_id")
+    return packed.withColumnRenamed("id", "doc_id").withColumn("length", F.col("length").cast("long"))
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
