@@ -22,7 +22,7 @@ import uuid
 import zlib
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chunked_tokenizer import slices, tokenizer
@@ -89,13 +89,23 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, id_col:
     spark.createDataFrame([(sha, bytearray(data))], "dict_sha256 string, data binary").coalesce(1).write.parquet(f"{folder}/dictionary")
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     # Ranges of ids from approximate quantiles: a scan of the id column alone, so that texts are shuffled once and never sampled.
-    bounds = sorted(set(docs.select(F.col(id_col).cast("double").alias("id")).approxQuantile("id", [i / parts for i in range(1, parts)], 0.1 / parts))) if parts > 1 else []
-    part = F.size(F.filter(F.array(*[F.lit(int(b)) for b in bounds]).cast("array<long>"), lambda b: b < F.col("id"))) if bounds else F.lit(0)
+    quantiles = docs.select(F.col(id_col).cast("double").alias("id")).approxQuantile("id", [i / parts for i in range(1, parts)], max(0.1 / parts, 1e-5)) if parts > 1 else []
+    part = _range_of(F.col("id"), sorted({int(q) for q in quantiles}))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).withColumn("part", F.when(F.col("id").isNull(), 0).otherwise(part).cast("int"))
     ordered = rows.repartitionById(parts, "part").sortWithinPartitions("part", F.col("id").asc_nulls_first())
     ordered.mapInArrow(_chunk_writer(data, sha, tokenizer_path), CHUNK_SCHEMA).write.parquet(f"{folder}/chunks")
 
 
+def _range_of(value: Column, bounds: list[int]) -> Column:
+    """How many of the ascending bounds lie below ``value``: first among every k-th, then among the k between two of these."""
+    if not bounds:
+        return F.lit(0)
+    k = max(1, round(len(bounds) ** 0.5))
+    all_bounds, coarse = (F.array(*[F.lit(b) for b in bs]).cast("array<long>") for bs in (bounds, bounds[k - 1 :: k]))
+    below = F.size(F.filter(coarse, lambda b: b < value)) * k if len(bounds) >= k else F.lit(0)
+    return below + F.size(F.filter(F.slice(all_bounds, below + 1, F.lit(k)), lambda b: b < value))
+
+
 def _chunk_writer(data: bytes, sha: str, tokenizer_path: str):
     def run(batches):
         import zstandard
