@@ -26,11 +26,23 @@ def scratch_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back: cuts lineage and survives lost executors."""
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def stored(df: DataFrame, label: str, batch_rows: int | None = None) -> DataFrame:
+    """Write ``df`` as Parquet into the shared folder and read it back: cuts lineage and survives lost executors.
+
+    ``batch_rows`` bounds the rows that Python gets at a time while this is written, where rows are large.
+    """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(BATCH_ROWS)
+    try:
+        if batch_rows:
+            spark.conf.set(BATCH_ROWS, str(batch_rows))
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(BATCH_ROWS, before)
     back = spark.read.schema(df.schema).parquet(path)
     back.stored_at = path
     return back

@@ -36,6 +36,8 @@ GAP_COST = 0.1
 MAX_GAP = 40
 #: Words beyond a piece's ends that alignment may take in.
 REACH = 96
+#: Rows with texts that Python gets at a time.
+BATCH_ROWS = 1_000
 #: Words whose hashes a worker remembers; a hash costs little more than a look-up.
 CACHE_WORDS = 100_000
 #: Outward alignment passes a mismatch if this many words agree again within so few skipped words.
@@ -249,7 +251,7 @@ def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, start, end, anchor, anchor_start, anchor_end, equal_words): passages, in word places, whose first copy another document holds."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
-    seeds = stored(texts.mapInArrow(_seeds, "seed long, id long, pos int"), "substring-seeds")
+    seeds = stored(texts.mapInArrow(_seeds, "seed long, id long, pos int"), "substring-seeds", BATCH_ROWS)
     firsts = seeds.groupBy("seed").agg(F.min(F.struct("id", "pos")).alias("first"), F.max("id").alias("last")).where("first.id < last")
     firsts = stored(firsts.select("seed", F.col("first.id").alias("anchor"), F.col("first.pos").alias("apos")), "substring-anchors")
     matches = seeds.join(firsts, "seed").where("id <> anchor").select("id", F.struct("anchor", "apos", "pos").alias("m"))
@@ -258,7 +260,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     chained = texts.join(found, "id").select("id", "text", "found").mapInArrow(_chained, "id long, anchor long, own_first int, own_at int, anchor_at int, words binary, seeds array<int>")
     other = texts.select(F.col("id").alias("anchor"), "text")
     both = chained.join(other, "anchor").select("id", "anchor", "own_first", "own_at", "anchor_at", "words", "seeds", "text")
-    return both.mapInArrow(_aligned, "id long, start int, end int, anchor long, anchor_start int, anchor_end int, equal_words int").distinct()
+    aligned = both.mapInArrow(_aligned, "id long, start int, end int, anchor long, anchor_start int, anchor_end int, equal_words int")
+    return stored(aligned.distinct(), "substring-passages", BATCH_ROWS)
 
 
 def cut_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None) -> DataFrame:
