@@ -30,6 +30,8 @@ END_ID = 0
 #: Pricing rounds of the multiplicative weights, and their step.
 ROUNDS = 300
 STEP = 0.25
+#: Fills of a sequence from which a fractional configuration is rounded, tried in this order, and the excess that is close enough.
+FILLS, CLOSE = (1.0, 0.97, 0.9, 0.0), 0.001
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -134,23 +136,47 @@ def _fill(left: dict[int, int], capacity: int) -> dict[int, int]:
 
 
 def configurations(histogram: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
-    """Configurations and whole counts that together hold the histogram exactly."""
+    """Configurations and whole counts that together hold the histogram exactly.
+
+    The fractional solution is rounded down with more and more of its partly filled configurations, and the rounding
+    that needs fewest sequences counts; the first that is within ``CLOSE`` of the bound by volume ends the search.
+    """
     left = {n: c for n, c in histogram.items() if c > 0}
     out = []
     if full := left.pop(capacity, 0):
         out.append(({capacity: 1}, full))
-    if left:
-        for config, x in sorted(fractional_configurations(left, capacity), key=lambda c: -c[1]):
-            # Only those that fill a sequence: rounding leaves the rest to the exact fill below.
-            whole = min([int(x)] + [left.get(n, 0) // k for n, k in config.items()])
-            if whole and sum(n * k for n, k in config.items()) == capacity:
-                out.append((config, whole))
-                left = {n: c for n, c in ((n, c - whole * config.get(n, 0)) for n, c in left.items()) if c}
+    if not left:
+        return out
+    fractional = sorted(fractional_configurations(left, capacity), key=lambda c: -c[1])
+    bound = -(-sum(n * c for n, c in left.items()) // capacity)
+    best: list[tuple[dict[int, int], int]] = []
+    for fill in FILLS:
+        now = _rounded(fractional, left, capacity, fill * capacity)
+        if not best or sum(w for _, w in now) < sum(w for _, w in best):
+            best = now
+        if sum(w for _, w in best) <= bound * (1 + CLOSE) + 1:
+            break
+    return out + best
+
+
+def _rounded(fractional: list[tuple[dict[int, int], float]], histogram: dict[int, int], capacity: int, least: float) -> list[tuple[dict[int, int], int]]:
+    """Whole multiples of configurations that fill ``least`` or more, and exact fills for the rest."""
+    left, out = dict(histogram), []
+
+    def take(config: dict[int, int], whole: int) -> None:
+        out.append((config, whole))
+        for n, k in config.items():
+            left[n] -= whole * k
+            if not left[n]:
+                del left[n]
+
+    for config, x in fractional:
+        whole = min([int(x)] + [left.get(n, 0) // k for n, k in config.items()])
+        if whole and sum(n * k for n, k in config.items()) >= least:
+            take(config, whole)
     while left:
         config = _fill(left, capacity)
-        whole = min(left[n] // k for n, k in config.items())
-        out.append((config, whole))
-        left = {n: c for n, c in ((n, c - whole * config.get(n, 0)) for n, c in left.items()) if c}
+        take(config, min(left[n] // k for n, k in config.items()))
     return out
 
 
