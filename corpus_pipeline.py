@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from quotewright.llm.common import stored
 from quotewright.llm.exact_dedup import drop_exact_duplicates
 from quotewright.llm.packing import pack
-from quotewright.llm.simhash import drop_near_duplicates
+from quotewright.llm.similar import drop_similar
 from quotewright.llm.substring import cut_passages
 from quotewright.llm.toxicity import drop_toxic, fit
 
@@ -30,8 +30,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked fingerprints the document with the smallest id stays."""
-    return drop_near_duplicates(docs)
+    """Of each group of texts linked by five-word similarity of 0.8 or more the document with the smallest id stays."""
+    return drop_similar(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
