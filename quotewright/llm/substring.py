@@ -76,9 +76,10 @@ def seeds_of(words: list[bytes]):
         for a in range(0, len(windows), 65_536):
             picked[a : a + 65_536] = windows[a : a + 65_536].argmin(axis=1) + np.arange(a, min(a + 65_536, len(windows)))
         at = picked[np.concatenate(([True], picked[1:] != picked[:-1]))]
-        # In a run of overlapping equal k-mers the first stands for all: alignment reads on from it.
+        # In a run of overlapping equal k-mers one in ``WINDOW`` words stands for the others: alignment reads on from it.
         run = np.concatenate(([False], (kmers[at[1:]] == kmers[at[:-1]]) & (at[1:] - at[:-1] < K)))
-        at = at[~run]
+        step = (at - at[~run][np.cumsum(~run) - 1]) // WINDOW
+        at = at[~run | np.concatenate(([False], step[1:] != step[:-1]))]
     return kmers[at].view(np.int64), at
 
 
