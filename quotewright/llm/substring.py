@@ -3,7 +3,9 @@
 Words are ``[^\\x20\\x09-\\x0D]+`` of the text with A-Z lower-cased. Of every ``WINDOW`` successive ``K``-word k-mers the
 one with the least hash is a seed, so any stretch of ``K + WINDOW - 1`` equal words in two documents yields a common
 seed. A seed's anchor is its first place in the document with the smallest id; every place in another document is matched
-with the anchor and never with all others, so matches grow with the places and not with their pairs. A document's matches
+with the anchor and never with all others, so matches grow with the places and not with their pairs. Where every seed of ``MIN_WORDS``
+words has an anchor and yet no passage covers them, the anchors may hold fragments alone; such words meet once more as a whole, on the
+hash of all ``MIN_WORDS`` of them, so of equal words the first place in the document with the smallest id is found. A document's matches
 with one anchor document are chained with gap costs by a Fenwick tree, chains are cut at wide gaps, and each piece is
 aligned word by word in both texts, between its seeds and outwards from its ends. A passage is reported when it has
 ``MIN_WORDS`` words or more and at least ``MIN_IDENTITY`` of the longer side's words align.
@@ -17,7 +19,7 @@ document. An empty table gives an empty result. Only the id and text columns are
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import pairwise
 
 import pyarrow as pa
@@ -51,30 +53,49 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def seeds_of(words: list[bytes]):
-    """(hashes, places) of the document's seeds."""
+def grams_of(words: list[bytes], k: int):
+    """The hash of each ``k`` successive words."""
     import numpy as np
     import xxhash
 
-    n = len(words) - K + 1
+    n = len(words) - k + 1
     if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64)
     if not _cache:
         _cache.append(ChunkCache(lambda w: xxhash.xxh64_digest(w), CACHE_WORDS))
     own = np.frombuffer(_cache[0].gather(words), "<u8")
-    kmers = np.zeros(n, np.uint64)
-    for j in range(K):
-        kmers = kmers * np.uint64(0x9E3779B97F4A7C15) + own[j : j + n]
-    kmers ^= kmers >> np.uint64(29)
-    kmers *= np.uint64(0xBF58476D1CE4E5B9)
-    kmers ^= kmers >> np.uint64(32)
+    grams = np.zeros(n, np.uint64)
+    for j in range(k):
+        grams = grams * np.uint64(0x9E3779B97F4A7C15) + own[j : j + n]
+    grams ^= grams >> np.uint64(29)
+    grams *= np.uint64(0xBF58476D1CE4E5B9)
+    grams ^= grams >> np.uint64(32)
+    return grams
+
+
+def least_of(kmers, width: int):
+    """The place of the least (of equal ones the first) of each ``width`` successive hashes."""
+    import numpy as np
+
+    windows = np.lib.stride_tricks.sliding_window_view(kmers, width)
+    picked = np.empty(len(windows), np.int64)
+    for a in range(0, len(windows), 65_536):
+        picked[a : a + 65_536] = windows[a : a + 65_536].argmin(axis=1) + np.arange(a, min(a + 65_536, len(windows)))
+    return picked
+
+
+def seeds_of(words: list[bytes]):
+    """(hashes, places) of the document's seeds."""
+    import numpy as np
+
+    kmers = grams_of(words, K)
+    n = len(kmers)
+    if n == 0:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     if n <= WINDOW:
         at = np.array([int(kmers.argmin())])
     else:
-        windows = np.lib.stride_tricks.sliding_window_view(kmers, WINDOW)
-        picked = np.empty(len(windows), np.int64)
-        for a in range(0, len(windows), 65_536):
-            picked[a : a + 65_536] = windows[a : a + 65_536].argmin(axis=1) + np.arange(a, min(a + 65_536, len(windows)))
+        picked = least_of(kmers, WINDOW)
         at = picked[np.concatenate(([True], picked[1:] != picked[:-1]))]
         # In a run of overlapping equal k-mers one in ``WINDOW`` words stands for the others: alignment reads on from it.
         run = np.concatenate(([False], (kmers[at[1:]] == kmers[at[:-1]]) & (at[1:] - at[:-1] < K)))
@@ -146,7 +167,93 @@ def pieces_of(chain: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
     return out
 
 
-def _chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _inside(spans: list[dict] | None) -> Callable:
+    """Tells of words from first up to last (arrays) whether they lie in one of the spans."""
+    import numpy as np
+
+    ends = sorted((x["start"], x["end"]) for x in spans or [])
+    starts, stops = np.array([x[0] for x in ends], np.int64), np.maximum.accumulate(np.array([x[1] for x in ends], np.int64))
+
+    def inside(first, last):
+        at = np.searchsorted(starts, first, "right") - 1
+        return (at >= 0) & (last <= stops[np.maximum(at, 0)]) if len(starts) else np.zeros(len(first), bool)
+
+    return inside
+
+
+def _unclear(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Seeds of ``MIN_WORDS`` successive words that have anchors for all their seeds and lie in no passage."""
+    import numpy as np
+
+    span = MIN_WORDS - K + 1
+    for batch in batches:
+        wanted = set()
+        for text, found, spans in zip(*(batch.column(c) for c in range(3)), strict=True):
+            own = np.array(sorted({m["pos"] for m in found.as_py()}), np.int64)
+            inside = _inside(spans.as_py())
+            # Such words hold two seeds next to each other; most documents have none outside of passages and are not read.
+            near = own[1:] - own[:-1] < WINDOW + K
+            if not (near & ~inside(np.maximum(own[1:] - span + 1, 0), own[:-1] + MIN_WORDS)).any():
+                continue
+            words = words_of(text.as_py())
+            kmers = grams_of(words, K)
+            if len(kmers) < span:
+                continue
+            shared = np.isin(kmers[least_of(kmers, WINDOW)], np.unique(kmers[own[own < len(kmers)]]))
+            lone = np.concatenate(([0], np.cumsum(~shared)))
+            first = np.arange(len(words) - MIN_WORDS + 1)
+            # All windows within the words have a shared seed.
+            open_at = first[(lone[first + span - WINDOW + 1] == lone[first]) & ~inside(first, first + MIN_WORDS)]
+            if len(open_at):
+                wanted.update(kmers[least_of(kmers, span)[open_at]].view(np.int64).tolist())
+        yield pa.RecordBatch.from_arrays([pa.array(list(wanted), pa.int64())], ["seed"])
+
+
+def _wholes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(gram, id, at) of all ``MIN_WORDS`` successive words whose least k-mer is one of the given seeds."""
+    import numpy as np
+
+    for batch in batches:
+        hashes, owners, places = [np.zeros(0, np.int64)], [], []
+        for text, seeds in zip(batch.column(1), batch.column(2), strict=True):
+            words = words_of(text.as_py())
+            grams, kmers = grams_of(words, MIN_WORDS), grams_of(words, K)
+            at = np.flatnonzero(np.isin(kmers[least_of(kmers, MIN_WORDS - K + 1)].view(np.int64), np.array(seeds.as_py(), np.int64))) if len(grams) else np.zeros(0, np.int64)
+            hashes.append(grams[at].view(np.int64))
+            owners.append(len(at))
+            places.append(at.astype(np.int32))
+        owner = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), owners)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes)), pa.array(owner), pa.array(np.concatenate([np.zeros(0, np.int32), *places]))], ["gram", "id", "at"])
+
+
+def _needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, found): of the matches of ``MIN_WORDS`` words outside of passages, those that alignment does not reach from the one before of the same shift."""
+    import numpy as np
+
+    kind = pa.list_(pa.struct([("anchor", pa.int64()), ("apos", pa.int32()), ("pos", pa.int32())]))
+    for batch in batches:
+        ids, needed = [], []
+        for i, found, spans in zip(*(batch.column(c) for c in range(3)), strict=True):
+            matches = sorted(found.as_py(), key=lambda m: m["pos"])
+            first = np.array([m["pos"] for m in matches], np.int64)
+            kept, last = [], {}
+            for m, covered in zip(matches, _inside(spans.as_py())(first, first + MIN_WORDS).tolist(), strict=True):
+                shift = m["anchor"], m["pos"] - m["apos"]
+                if not covered and m["pos"] - last.get(shift, -REACH) > REACH - MIN_WORDS:
+                    last[shift] = m["pos"]
+                    kept.append(m)
+            if kept:
+                ids.append(i.as_py())
+                needed.append(kept)
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(needed, kind)], ["id", "found"])
+
+
+def _single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``_chained`` with a piece for each match."""
+    return _chained(batches, lambda matches: [[m] for m in matches])
+
+
+def _chained(batches: Iterator[pa.RecordBatch], chains: Callable[[list], list] = chains) -> Iterator[pa.RecordBatch]:
     """One row for each piece: own words around it, and its seeds as distances from its first."""
     names = ["id", "anchor", "own_first", "own_at", "anchor_at", "words", "seeds"]
     kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int32())]
@@ -258,11 +365,30 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     matches = seeds.join(firsts, "seed").where("id <> anchor").select("id", F.struct("anchor", "apos", "pos").alias("m"))
     # A document's matches are no more than its own seeds.
     found = stored(matches.groupBy("id").agg(F.collect_list("m").alias("found")), "substring-matches")
-    chained = texts.join(found, "id").select("id", "text", "found").mapInArrow(_chained, "id long, anchor long, own_first int, own_at int, anchor_at int, words binary, seeds array<int>")
+    passages = stored(_passages(texts, found, _chained), "substring-passages", BATCH_ROWS)
+    spans = passages.groupBy("id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    unclear = texts.join(found, "id").join(spans, "id", "left").select("text", "found", "spans").mapInArrow(_unclear, "seed long")
+    unclear = stored(unclear.distinct(), "substring-unclear", BATCH_ROWS)
+    if unclear.isEmpty():
+        return passages
+    held = seeds.join(unclear, "seed").groupBy("id").agg(F.collect_set("seed").alias("held"))
+    grams = stored(texts.join(held, "id").select("id", "text", "held").mapInArrow(_wholes, "gram long, id long, at int"), "substring-wholes", BATCH_ROWS)
+    firsts = grams.groupBy("gram").agg(F.min(F.struct("id", "at")).alias("first"), F.max("id").alias("last")).where("first.id < last")
+    firsts = stored(firsts.select("gram", F.col("first.id").alias("anchor"), F.col("first.at").alias("apos")), "substring-first-wholes")
+    equal = grams.join(firsts, "gram").where("id <> anchor").select("id", F.struct("anchor", "apos", F.col("at").alias("pos")).alias("m"))
+    # A document's matches are no more than its own words.
+    equal = equal.groupBy("id").agg(F.collect_list("m").alias("found")).join(spans, "id", "left").select("id", "found", "spans")
+    found = stored(equal.mapInArrow(_needed, "id long, found array<struct<anchor: long, apos: int, pos: int>>"), "substring-more-matches", BATCH_ROWS)
+    return stored(passages.union(_passages(texts, found, _single)).distinct(), "substring-all-passages", BATCH_ROWS)
+
+
+def _passages(texts: DataFrame, found: DataFrame, pieces: Callable) -> DataFrame:
+    """The passages that documents' matches give, as pieces of chains or one by one."""
+    chained = texts.join(found, "id").select("id", "text", "found").mapInArrow(pieces, "id long, anchor long, own_first int, own_at int, anchor_at int, words binary, seeds array<int>")
     other = texts.select(F.col("id").alias("anchor"), "text")
     both = chained.join(other, "anchor").select("id", "anchor", "own_first", "own_at", "anchor_at", "words", "seeds", "text")
     aligned = both.mapInArrow(_aligned, "id long, start int, end int, anchor long, anchor_start int, anchor_end int, equal_words int")
-    return stored(aligned.distinct(), "substring-passages", BATCH_ROWS)
+    return aligned.distinct()
 
 
 def cut_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None) -> DataFrame:
