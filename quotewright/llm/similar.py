@@ -8,7 +8,7 @@ candidates, and a pair of similarity 0.8 shares none with a chance of 3 in a mil
 ``PAIR_CAP`` every pair is verified. Members of larger buckets are verified against a few centres first. Buckets that the links so far
 leave in several components are searched by prefixes: shingles are ordered from the rarest on, and similar sets share one within the first
 fifth of either, so every pair of different components that shares one is verified. A large group of near copies is connected by its
-centres, and the rare shingles of texts that share a template alone differ, so neither costs pairs in the square of its rows.
+centres. Texts outside of it that share rare shingles with it are compared with each of its members: that grows with the product of the two.
 
 Defined results: texts that are null or without words have one set, the empty sequence, and link with each other alone; null ids
 take no part; rows that repeat an id are sketched each on its own text. An empty table gives an empty result. Only the
