@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, stored
+from .common import connected_components, discard, stored
 
 SHINGLE_WORDS = 3
 SEED = 42
@@ -48,12 +48,18 @@ def fingerprint(text: str | None) -> int:
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[: n - 1] + 1)).tolist()
     digest, ends = xxhash.xxh64_intdigest, ends[SHINGLE_WORDS - 1 :].tolist()
-    hashes = np.array([digest(whole[a:b], SEED) for a, b in zip(starts, ends, strict=True)], np.uint64)
+    return majority(np.array([digest(whole[a:b], SEED) for a, b in zip(starts, ends, strict=True)], np.uint64))
+
+
+def majority(hashes) -> int:
+    """The 64 bits that are set in over half of the hashes."""
+    import numpy as np
+
     set_bits = np.zeros(64, np.int64)
-    for at in range(0, n, 8192):
+    for at in range(0, len(hashes), 8192):
         part = hashes[at : at + 8192].view(np.uint8).reshape(-1, 8)
         set_bits += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * set_bits > n, bitorder="little").view(np.uint64)[0])
+    return int(np.packbits(2 * set_bits > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,12 +124,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     parts = connected_components(edges, "simhash")
     named = firsts.join(parts.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     named = stored(named, "simhash-named")
+    discard(firsts, edges)
     smallest = named.groupBy("component").agg(F.min("first").alias("component_id"))
     ids = named.select("fp", "component").join(smallest, "component").select("fp", "component_id")
     return prints.join(ids, "fp", "left").select("id", "fp", F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))
-
-
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with all its columns and one document (the smallest id) of each component; null ids stay."""
-    gone = near_duplicates(docs, id_col, text_col).where("id <> component_id").select(F.col("id").alias(id_col)).distinct()
-    return docs.join(gone, id_col, "left_anti")

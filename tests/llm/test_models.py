@@ -20,13 +20,14 @@ def corpus(spark):
     rng, rows, labels = random.Random(3), [], []
     for i in range(700):
         text, toxic, good = prose(rng, rng.randint(20, 80)), int(rng.random() < 0.25), int(rng.random() < 0.67)
+        if not good:
+            text = rng.choice([" ".join(w.upper() + "!!" for w in text.split()), " | ".join(text.split()), " ".join([text.split()[0]] * 40)])
         if toxic:
+            # After the junk is made, which would drop the words again.
             words = text.split(" ")
             for _ in range(rng.randint(1, 3)):
                 words.insert(rng.randrange(len(words)), rng.choice(BAD) + rng.choice(["", "s"]))
             text = " ".join(words)
-        if not good:
-            text = rng.choice([" ".join(w.upper() + "!!" for w in text.split()), " | ".join(text.split()), " ".join([text.split()[0]] * 40)])
         rows.append((i, text))
         if i % 10:
             labels.append((i, good, toxic))
