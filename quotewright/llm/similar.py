@@ -1,18 +1,20 @@
-"""Near-dedup by the exact similarity of word-shingle sets, with candidates from MinHash bands.
+"""Near-dedup of the pipeline: SimHash ball hashing for the near end, completed to the exact similarity of word-shingle sets.
 
 Shingles: A-Z lower-cased, words ``[^\\x20\\x09-\\x0D]+``, sets of five successive words (fewer words: the whole sequence), as
 XXH64. Two texts link when the Jaccard similarity of their sets is 0.8 or more; no link rests on an estimate.
 
-Search: texts with equal sets are one node. A node has ``BANDS`` keys of ``ROWS`` minima each; nodes that share a key are
-candidates, and a pair of similarity 0.8 shares none with a chance of 3 in a million (less above). In buckets up to
+Search: texts with equal sets are one node. Nodes whose SimHash fingerprints (of the same shingles) differ in three bits or fewer are
+candidates, found as ``simhash`` finds them. That radius reaches few pairs down to a similarity of 0.8, whose fingerprints differ in some
+ten bits, and balls that wide are out of reach. So a node also has ``BANDS`` keys of ``ROWS`` minima each; nodes that share a
+key are candidates too, and a pair of similarity 0.8 shares none with a chance of 3 in a million (less above). In buckets up to
 ``PAIR_CAP`` every pair is verified. Members of larger buckets are verified against a few centres first. Buckets that the links so far
-leave in several components are searched by prefixes: shingles are ordered from the rarest on, and similar sets share one within the first
-fifth of either, so every pair of different components that shares one is verified. A large group of near copies is connected by its
-centres. Texts outside of it that share rare shingles with it are compared with each of its members: that grows with the product of the two.
+leave in several components are searched by prefixes: shingles are ordered from the rarest on, and similar sets share one among the first
+of either, the fewer the closer their sizes are. Prefixes are therefore cut for each pair of size classes, and a pair of different
+components that shares one is verified unless the places of the shared shingle rule the similarity out.
 
 Defined results: texts that are null or without words have one set, the empty sequence, and link with each other alone; null ids
-take no part; rows that repeat an id are sketched each on its own text. An empty table gives an empty result. Only the
-id and text columns are read.
+take no part and stay; of rows that repeat id and text one stays, and rows that repeat an id with different texts are documents of their
+own, the one with the lesser text hash being the smaller. An empty table gives an empty result. Only the id and text columns are read.
 """
 
 from __future__ import annotations
@@ -20,16 +22,19 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, discard, stored
+from . import simhash
+from .common import Rows, connected_components, discard, stored
 
 SHINGLE_WORDS = 5
 SEED = 42
 #: Similarity as a fraction of whole numbers.
 SIMILARITY = (4, 5)
 BANDS, ROWS = 32, 5
+#: Size classes to the factor e: one holds sizes that differ by 5 % at most.
+CLASSES = 20.5
 #: Buckets up to this many nodes are compared pair by pair, larger ones by centres first.
 PAIR_CAP = 8
 CENTRES = 3
@@ -78,7 +83,7 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     flip = rng.integers(0, 1 << 63, (BANDS * ROWS, 1), np.uint64)
     weights = rng.integers(0, 1 << 63, (BANDS, ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
     for batch in batches:
-        nodes, sizes, keys = [], [], []
+        nodes, sizes, keys, prints = [], [], [], []
         for text in batch.column(1):
             hashes = shingles(text.as_py())
             least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
@@ -91,9 +96,10 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys.append(band ^ (band >> np.uint64(29)))
             nodes.append(node_of(hashes))
             sizes.append(len(hashes))
+            prints.append(simhash.majority(hashes))
         flat = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
         lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, BANDS), pa.int32()), pa.array(flat))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), lists], ["id", "node", "n", "keys"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), lists, pa.array(np.array(prints, np.uint64).view(np.int64))], ["id", "node", "n", "keys", "fp"])
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,34 +128,64 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*own, pa.array(flat)], ["node", "n", "component", "token"])
 
 
+def _class(size: Column) -> Column:
+    return F.floor(F.log(size) * CLASSES).cast("int")
+
+
 def _prefixes(texts: DataFrame) -> DataFrame:
-    """(node, n, component, token): the rarest shingles of each text, one of which any similar text shares, where components meet on them.
+    """(node, n, component, rank, token, own, lo, hi): the rarest shingles of each text, one of which any similar text shares.
 
-    ``texts`` has (node, n, component, text).
+    ``texts`` has (node, n, component, text). Of texts of n and k shingles, similar ones share at least s = 4/9 (n + k), so one of
+    the first n - s + 1 of the one and k - s + 1 of the other. A shingle goes to the classes of those sizes k for which it is among the
+    first; ``lo`` and ``hi`` are the classes of the pair, ``own`` the text's.
     """
     tokens = stored(texts.mapInArrow(_tokens, "node long, n int, component long, token long"), "similar-tokens", BATCH_ROWS)
     counts = tokens.groupBy("token").agg(F.count("*").alias("held"))
-    rank = F.row_number().over(Window.partitionBy("node").orderBy("held", "token"))
-    spare = F.floor(F.col("n") * (SIMILARITY[1] - SIMILARITY[0]) / SIMILARITY[1])
-    first = tokens.join(counts, "token").withColumn("rank", rank).where((F.col("rank") <= spare + 1) & (F.col("held") > 1)).drop("rank", "held")
-    first = stored(first, "similar-prefixes")
-    met = first.groupBy("token").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("token")
-    return stored(first.join(met, "token"), "similar-met")
+    ranked = tokens.join(counts, "token").withColumn("rank", F.row_number().over(Window.partitionBy("node").orderBy("held", "token")))
+    near, whole = SIMILARITY
+    # s <= n - rank + 1 bounds k from above; the similarity itself bounds it from below.
+    most = (F.col("n") - F.col("rank") + 1) * (near + whole) / near - F.col("n") + 1e-6
+    least = F.greatest(F.col("n") * near / whole - 1e-6, F.lit(1.0))
+    first = ranked.where((F.col("held") > 1) & (most >= least)).select("node", "n", "component", "rank", "token", _class(F.col("n")).alias("own"), F.explode(F.sequence(_class(least), _class(F.least(most, F.col("n") * whole / near + 1e-6)))).alias("other"))
+    first = stored(first.select("node", "n", "component", "rank", "token", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi")), "similar-prefixes")
+    met = first.groupBy("token", "lo", "hi").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.min("own").alias("a"), F.max("own").alias("b")).where("least <> most AND a = lo AND b = hi")
+    first = stored(first.join(met.select("token", "lo", "hi"), ["token", "lo", "hi"]), "similar-met")
+    discard(tokens)
+    return first
+
+
+def _prefix_pairs(first: DataFrame) -> DataFrame:
+    """Distinct (a, b) of nodes of different components that share a prefix shingle and may be similar by its places."""
+    near, whole = SIMILARITY
+    one = first.where("own = lo").select("token", "lo", "hi", "node", "n", "rank", "component")
+    two = first.where("own = hi").select("token", "lo", "hi", F.col("node").alias("m"), F.col("n").alias("k"), F.col("rank").alias("at"), F.col("component").alias("c"))
+    shared = F.least(F.col("n") - F.col("rank"), F.col("k") - F.col("at")) + 1
+    may = (shared * (near + whole) >= near * (F.col("n") + F.col("k"))) & (whole * F.least("n", "k") >= near * F.greatest("n", "k"))
+    met = one.join(two, ["token", "lo", "hi"]).where((F.col("component") != F.col("c")) & may)
+    return met.select(F.least("node", "m").alias("a"), F.greatest("node", "m").alias("b")).distinct()
 
 
-def _pairs(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
+def _pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     """Distinct (a, b) with a < b of nodes that meet on a bucket, whose set sizes allow the similarity."""
-    met = left.join(right.select(on, F.col("node").alias("m"), F.col("n").alias("k"), *([F.col("component").alias("c")] if "component" in right.columns else [])), on)
-    if "component" in right.columns:
-        met = met.where("component <> c")
+    met = left.join(right.select("key", F.col("node").alias("m"), F.col("n").alias("k")), "key")
     met = met.where((F.col("node") != F.col("m")) & (SIMILARITY[1] * F.least("n", "k") >= SIMILARITY[0] * F.greatest("n", "k")))
     return met.select(F.least("node", "m").alias("a"), F.greatest("node", "m").alias("b")).distinct()
 
 
+def _fingerprint_pairs(sketches: DataFrame) -> DataFrame:
+    """(a, b) of nodes whose fingerprints lie within the radius of ``simhash``; nodes of one fingerprint meet its least."""
+    prints = stored(sketches.groupBy("fp").agg(F.min("node").alias("least")), "similar-prints")
+    near = simhash.links(prints.select("fp"))
+    one, two = prints.select(F.col("fp").alias("a"), F.col("least").alias("x")), prints.select(F.col("fp").alias("b"), F.col("least").alias("y"))
+    same = sketches.join(prints, "fp").where("node <> least").select(F.col("node").alias("x"), F.col("least").alias("y"))
+    found = near.join(one, "a").join(two, "b").select("x", "y").union(same)
+    return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
 def links(sketches: DataFrame, texts: DataFrame) -> DataFrame:
     """(a, b) pairs of similar nodes: enough of them to keep every connection.
 
-    ``sketches`` has (node, n, keys), a row for each node; ``texts`` has (node, text).
+    ``sketches`` has (node, n, keys, fp), a row for each node; ``texts`` has (node, text).
     """
 
     def verify(pairs: DataFrame, label: str) -> DataFrame:
@@ -158,7 +194,9 @@ def links(sketches: DataFrame, texts: DataFrame) -> DataFrame:
         two = texts.select(F.col("node").alias("b"), F.col("text").alias("t"))
         # The join on the greater end comes first, so that the rows of one lesser end lie together.
         rows = pairs.join(two, "b").join(one, "a").select("a", "b", "s", "t")
-        return stored(rows.mapInArrow(_verified, "a long, b long"), f"similar-{label}", BATCH_ROWS)
+        found = stored(rows.mapInArrow(_verified, "a long, b long"), f"similar-{label}", BATCH_ROWS)
+        discard(pairs)
+        return found
 
     bands = sketches.select("node", "n", F.explode("keys").alias("key"))
     sizes = stored(bands.groupBy("key").agg(F.count("*").alias("size"), *[F.min(F.struct(F.xxhash64("node", F.lit(i)).alias("h"), "node", "n")).alias(f"c{i}") for i in range(CENTRES)]).where("size > 1"), "similar-buckets")
@@ -166,7 +204,8 @@ def links(sketches: DataFrame, texts: DataFrame) -> DataFrame:
     small = members.where(F.col("size") <= PAIR_CAP)
     large = members.where(F.col("size") > PAIR_CAP).select("key", "node", "n")
     centres = sizes.where(F.col("size") > PAIR_CAP).select("key", F.explode(F.array(*[f"c{i}" for i in range(CENTRES)])).alias("c")).select("key", "c.node", "c.n").distinct()
-    found = verify(_pairs(small.select("key", "node", "n"), small.select("key", "node", "n"), "key").union(_pairs(large, centres, "key")).distinct(), "links")
+    close = _fingerprint_pairs(sketches)
+    found = verify(_pairs(small.select("key", "node", "n"), small.select("key", "node", "n")).union(_pairs(large, centres)).union(close).distinct(), "links")
     if large.isEmpty():
         return found
     parts = connected_components(found, "similar-first").withColumnRenamed("node", "x")
@@ -177,31 +216,32 @@ def links(sketches: DataFrame, texts: DataFrame) -> DataFrame:
     if rest.isEmpty():
         return found
     first = _prefixes(rest.select("node", "n", "component").distinct().join(texts, "node").select("node", "n", "component", "text"))
-    return found.union(verify(_pairs(first, first, "token"), "more-links"))
+    return found.union(verify(_prefix_pairs(first), "more-links"))
 
 
-def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, node, component_id) for each row with an id; the component's smallest id names it."""
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL")
-    sketches = stored(texts.mapInArrow(_sketches, "id long, node long, n int, keys array<long>"), "similar-sketches")
-    nodes = stored(sketches.groupBy("node").agg(F.min("id").alias("first"), F.first("n").alias("n"), F.first("keys").alias("keys")), "similar-nodes")
-    held = texts.join(nodes.select(F.col("first").alias("id"), "node"), "id")
-    twice = sketches.groupBy("id").agg(F.count_distinct("node").alias("sets")).where("sets > 1").select("id")
-    if not twice.isEmpty():
-        # A repeated id names several texts: only the text whose set the node is may stand for it.
-        held = held.where(F.udf(lambda t, n: node_of(shingles(t)) == n, "boolean")("text", "node"))
-    edges = stored(links(nodes.select("node", "n", "keys"), held.dropDuplicates(["node"]) if not twice.isEmpty() else held.select("node", "text")), "similar-edges")
+def _components(texts: DataFrame) -> DataFrame:
+    """(id, node, component_id) for each row of ``texts`` (id, text)."""
+    sketches = stored(texts.mapInArrow(_sketches, "id long, node long, n int, keys array<long>, fp long"), "similar-sketches")
+    nodes = stored(sketches.groupBy("node").agg(F.min("id").alias("first"), *[F.first(c).alias(c) for c in ("n", "keys", "fp")]), "similar-nodes")
+    held = texts.join(nodes.select(F.col("first").alias("id"), "node"), "id").select("node", "text")
+    edges = stored(links(nodes.select("node", "n", "keys", "fp"), held), "similar-edges")
     parts = connected_components(edges, "similar")
     named = nodes.select("node", "first").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = stored(named, "similar-named")
     smallest = named.groupBy("component").agg(F.min("first").alias("component_id"))
     ids = named.select("node", "component").join(smallest, "component").select("node", "component_id")
-    found = sketches.select("id", "node").join(ids, "node").select("id", "node", "component_id")
-    discard(edges)
+    found = stored(sketches.select("id", "node").join(ids, "node").select("id", "node", "component_id"), "similar-found")
+    discard(edges, nodes, sketches, named)
     return found
 
 
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, node, component_id) for each (id, text) with an id; the component's smallest id names it."""
+    rows = Rows(docs, id_col, text_col, "similar")
+    return rows.with_ids(_components(rows.texts), "id", "component_id")
+
+
 def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with all its columns and one document (the smallest id) of each component; null ids stay."""
-    gone = similar_documents(docs, id_col, text_col).where("id <> component_id").select(F.col("id").alias(id_col)).distinct()
-    return docs.join(gone, id_col, "left_anti")
+    """``docs`` with all its columns and one document (the smallest) of each component; null ids stay."""
+    rows = Rows(docs, id_col, text_col, "similar")
+    return rows.without(_components(rows.texts).where("id <> component_id").select("id"))
