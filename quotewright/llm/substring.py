@@ -11,9 +11,10 @@ aligned word by word in both texts, between its seeds and outwards from its ends
 ``MIN_WORDS`` words or more and at least ``MIN_IDENTITY`` of the longer side's words align.
 
 Defined results: null, empty and short texts have no passages; repeats within one document alone are not reported;
-rows with null ids take no part; rows that repeat an id are aligned each on its own text and other rows of that
-id are not its anchors. The smallest id holds the first copy, and a passage may be reported with more than one anchor
-document. An empty table gives an empty result. Only the id and text columns are read.
+rows with null ids take no part and stay as they are. Rows that repeat an id with different texts are documents of their own, the
+one with the lesser text hash being the first; rows that repeat id and text are one document. The smallest id holds
+the first copy, and a passage may be reported with more than one anchor document. An empty table gives an empty result. Only
+the id and text columns are read.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ChunkCache, stored
+from .common import ChunkCache, Rows, discard, stored
 
 K = 6
 WINDOW = 20
@@ -38,6 +39,8 @@ GAP_COST = 0.1
 MAX_GAP = 40
 #: Words beyond a piece's ends that alignment may take in.
 REACH = 96
+#: Anchors hand out their words in stretches that begin and end at multiples of this, to so many parts of the pieces that ask for one.
+TILE, PARTS = 256, 64
 #: Rows with texts that Python gets at a time.
 BATCH_ROWS = 1_000
 #: Words whose hashes a worker remembers; a hash costs little more than a look-up.
@@ -254,9 +257,9 @@ def _single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _chained(batches: Iterator[pa.RecordBatch], chains: Callable[[list], list] = chains) -> Iterator[pa.RecordBatch]:
-    """One row for each piece: own words around it, and its seeds as distances from its first."""
-    names = ["id", "anchor", "own_first", "own_at", "anchor_at", "words", "seeds"]
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int32())]
+    """One row for each piece: own words around it, its seeds as distances from its first, and the anchor's words that alignment may read."""
+    names = ["id", "anchor", "own_first", "own_at", "anchor_at", "words", "seeds", "lo", "hi"]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int32()), pa.int32(), pa.int32()]
     for batch in batches:
         out: list[list] = [[] for _ in names]
         held = 0
@@ -268,11 +271,11 @@ def _chained(batches: Iterator[pa.RecordBatch], chains: Callable[[list], list] =
             for anchor, matches in by_anchor.items():
                 for chain in chains(matches):
                     for piece in pieces_of(chain):
-                        (a, p), (_, last) = piece[0], piece[-1]
+                        (a, p), (b, last) = piece[0], piece[-1]
                         if last >= len(words):
                             continue
                         first = max(0, p - REACH)
-                        row = (i.as_py(), anchor, first, p, a, b" ".join(words[first : last + K + REACH]), [x for b, q in piece for x in (b - a, q - p)])
+                        row = (i.as_py(), anchor, first, p, a, b" ".join(words[first : last + K + REACH]), [x for c, q in piece for x in (c - a, q - p)], max(0, a - REACH) // TILE * TILE, -(-(b + K + 2 * REACH) // TILE) * TILE)
                         held += len(row[5])
                         for column, value in zip(out, row, strict=True):
                             column.append(value)
@@ -335,60 +338,108 @@ def align(own: list[bytes], at: int, anchor: list[bytes], anchor_at: int, seeds:
     return at - left, i + right, anchor_at - back, j + across, equal + more + less
 
 
+def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(anchor, lo, hi, parts, there): the words of anchors that were asked for."""
+    names = ["anchor", "lo", "hi", "parts", "there"]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.binary()]
+    for batch in batches:
+        out: list[list] = [[] for _ in names]
+        held = 0
+        for anchor, text, asked in zip(*(batch.column(c) for c in range(3)), strict=True):
+            words = words_of(text.as_py())
+            for x in asked.as_py():
+                row = (anchor.as_py(), x["lo"], x["hi"], x["parts"], b" ".join(words[x["lo"] : x["hi"]]))
+                held += len(row[4])
+                for column, value in zip(out, row, strict=True):
+                    column.append(value)
+            if held > 8_000_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names)
+                out, held = [[] for _ in names], 0
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names)
+
+
 def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["id", "start", "end", "anchor", "anchor_start", "anchor_end", "equal_words"]
     last, words = None, []
     for batch in batches:
         out: list[list] = [[] for _ in names]
         for r in range(batch.num_rows):
-            i, anchor, first, at, a, own, seeds, text = (batch.column(c)[r] for c in range(8))
-            key = anchor.as_py(), text.as_buffer()
-            if last is None or key[0] != last[0] or not key[1].equals(last[1]):
-                last, words = key, words_of(text.as_py())
+            i, anchor, first, at, a, own, seeds, lo, there = (batch.column(c)[r] for c in range(9))
+            lo, key = lo.as_py(), there.as_buffer()
+            if last is None or not key.equals(last):
+                last, words = key, there.as_py().split()
             flat = seeds.as_py()
-            got = align(own.as_py().split(), at.as_py() - first.as_py(), words, a.as_py(), list(zip(flat[::2], flat[1::2], strict=True)))
+            got = align(own.as_py().split(), at.as_py() - first.as_py(), words, a.as_py() - lo, list(zip(flat[::2], flat[1::2], strict=True)))
             if got is None:
                 continue
             start, end, b, c, equal = got
             if end - start >= MIN_WORDS and equal >= MIN_IDENTITY * max(end - start, c - b):
-                for column, value in zip(out, (i.as_py(), start + first.as_py(), end + first.as_py(), anchor.as_py(), b, c, equal), strict=True):
+                for column, value in zip(out, (i.as_py(), start + first.as_py(), end + first.as_py(), anchor.as_py(), b + lo, c + lo, equal), strict=True):
                     column.append(value)
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if n in ("id", "anchor") else pa.int32()) for n, c in zip(names, out, strict=True)], names)
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, start, end, anchor, anchor_start, anchor_end, equal_words): passages, in word places, whose first copy another document holds."""
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
+    rows = Rows(docs, id_col, text_col, "substring")
+    return rows.with_ids(_all_passages(rows.texts), "id", "anchor")
+
+
+def _all_passages(rows: DataFrame) -> DataFrame:
+    """The passages of ``rows`` (id, text), of which ids do not repeat; written."""
+    texts = rows.where("text IS NOT NULL")
     seeds = stored(texts.mapInArrow(_seeds, "seed long, id long, pos int"), "substring-seeds", BATCH_ROWS)
     firsts = seeds.groupBy("seed").agg(F.min(F.struct("id", "pos")).alias("first"), F.max("id").alias("last")).where("first.id < last")
     firsts = stored(firsts.select("seed", F.col("first.id").alias("anchor"), F.col("first.pos").alias("apos")), "substring-anchors")
     matches = seeds.join(firsts, "seed").where("id <> anchor").select("id", F.struct("anchor", "apos", "pos").alias("m"))
     # A document's matches are no more than its own seeds.
     found = stored(matches.groupBy("id").agg(F.collect_list("m").alias("found")), "substring-matches")
-    passages = stored(_passages(texts, found, _chained), "substring-passages", BATCH_ROWS)
+    discard(firsts)
+    passages = _passages(texts, found, _chained)
     spans = passages.groupBy("id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     unclear = texts.join(found, "id").join(spans, "id", "left").select("text", "found", "spans").mapInArrow(_unclear, "seed long")
     unclear = stored(unclear.distinct(), "substring-unclear", BATCH_ROWS)
+    discard(found)
     if unclear.isEmpty():
+        discard(seeds, unclear)
         return passages
     held = seeds.join(unclear, "seed").groupBy("id").agg(F.collect_set("seed").alias("held"))
     grams = stored(texts.join(held, "id").select("id", "text", "held").mapInArrow(_wholes, "gram long, id long, at int"), "substring-wholes", BATCH_ROWS)
+    discard(seeds, unclear)
     firsts = grams.groupBy("gram").agg(F.min(F.struct("id", "at")).alias("first"), F.max("id").alias("last")).where("first.id < last")
     firsts = stored(firsts.select("gram", F.col("first.id").alias("anchor"), F.col("first.at").alias("apos")), "substring-first-wholes")
     equal = grams.join(firsts, "gram").where("id <> anchor").select("id", F.struct("anchor", "apos", F.col("at").alias("pos")).alias("m"))
     # A document's matches are no more than its own words.
     equal = equal.groupBy("id").agg(F.collect_list("m").alias("found")).join(spans, "id", "left").select("id", "found", "spans")
     found = stored(equal.mapInArrow(_needed, "id long, found array<struct<anchor: long, apos: int, pos: int>>"), "substring-more-matches", BATCH_ROWS)
-    return stored(passages.union(_passages(texts, found, _single)).distinct(), "substring-all-passages", BATCH_ROWS)
+    discard(grams, firsts)
+    more = _passages(texts, found, _single)
+    both = stored(passages.union(more).distinct(), "substring-all-passages")
+    discard(found, passages, more)
+    return both
 
 
 def _passages(texts: DataFrame, found: DataFrame, pieces: Callable) -> DataFrame:
-    """The passages that documents' matches give, as pieces of chains or one by one."""
-    chained = texts.join(found, "id").select("id", "text", "found").mapInArrow(pieces, "id long, anchor long, own_first int, own_at int, anchor_at int, words binary, seeds array<int>")
-    other = texts.select(F.col("id").alias("anchor"), "text")
-    both = chained.join(other, "anchor").select("id", "anchor", "own_first", "own_at", "anchor_at", "words", "seeds", "text")
+    """The passages that documents' matches give, as pieces of chains or one by one; written.
+
+    A piece meets the words of its anchor that alignment may read and not the whole text. Pieces that ask for the same words are dealt
+    over ``PARTS`` by their own ids, so a passage that very many documents share is not aligned in one task.
+    """
+    part = F.pmod(F.xxhash64("id"), F.lit(PARTS)).cast("int").alias("part")
+    chained = texts.join(found, "id").select("id", "text", "found").mapInArrow(pieces, "id long, anchor long, own_first int, own_at int, anchor_at int, words binary, seeds array<int>, lo int, hi int")
+    chained = stored(chained, "substring-pieces", BATCH_ROWS)
+    asked = chained.select("anchor", "lo", "hi", part).distinct().groupBy("anchor", "lo", "hi").agg(F.collect_list("part").alias("parts"))
+    # Stretches are bounded by the anchor's own length.
+    asked = asked.groupBy("anchor").agg(F.collect_list(F.struct("lo", "hi", "parts")).alias("asked"))
+    there = texts.withColumnRenamed("id", "anchor").join(asked, "anchor").select("anchor", "text", "asked")
+    there = stored(there.mapInArrow(_stretches, "anchor long, lo int, hi int, parts array<int>, there binary"), "substring-stretches", BATCH_ROWS)
+    there = there.select("anchor", "lo", "hi", F.explode("parts").alias("part"), "there")
+    both = chained.withColumn("part", part).join(there, ["anchor", "lo", "hi", "part"])
+    both = both.select("id", "anchor", "own_first", "own_at", "anchor_at", "words", "seeds", "lo", "there")
     aligned = both.mapInArrow(_aligned, "id long, start int, end int, anchor long, anchor_start int, anchor_end int, equal_words int")
-    return aligned.distinct()
+    passages = stored(aligned.distinct(), "substring-passages", BATCH_ROWS)
+    discard(chained)
+    return passages
 
 
 def cut_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None) -> DataFrame:
@@ -397,23 +448,23 @@ def cut_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     A document of which nothing but white space is left goes. ``length_col`` is set to the new number of characters of
     the documents that were cut.
     """
-    spans = repeated_passages(docs, id_col, text_col).groupBy(F.col("id").alias(id_col)).agg(F.collect_list(F.struct("start", "end")).alias("__spans"))
-    joined = docs.join(spans, id_col, "left")
-    where = {c: i for i, c in enumerate(joined.columns)}
+    rows = Rows(docs, id_col, text_col, "substring")
+    spans = _all_passages(rows.texts).groupBy("id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    names = docs.columns
 
     def cut(batches):
         for batch in batches:
-            texts, spans = batch.column(where[text_col]).to_pylist(), batch.column(where["__spans"]).to_pylist()
+            columns, spans = dict(zip(names, batch.column(0).flatten(), strict=True)), batch.column(1).to_pylist()
+            texts = columns[text_col].to_pylist()
             new = [_without(t, s) if s else t for t, s in zip(texts, spans, strict=True)]
-            stay = pa.array([not s or bool(t.strip()) for t, s in zip(new, spans, strict=True)])
-            columns = {n: batch.column(i) for n, i in where.items() if n != "__spans"}
-            columns[text_col] = pa.array(new, batch.column(where[text_col]).type)
+            stay = pa.array([not s or bool(t.strip()) for t, s in zip(new, spans, strict=True)], pa.bool_())
+            columns[text_col] = pa.array(new, columns[text_col].type)
             if length_col in columns:
                 old = columns[length_col]
                 columns[length_col] = pa.array([len(t) if s else n for t, s, n in zip(new, spans, old.to_pylist(), strict=True)], old.type)
-            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns)).filter(stay)
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names).filter(stay)
 
-    return joined.mapInArrow(cut, joined.drop("__spans").schema).select(*docs.columns)
+    return rows.joined(spans).mapInArrow(cut, docs.schema)
 
 
 def _without(text: str, spans: list[dict]) -> str:
