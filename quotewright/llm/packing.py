@@ -3,8 +3,10 @@
 Documents are encoded, closed with id 0 and, where longer than a sequence, cut into full pieces and a rest. Only the
 histogram of piece lengths, which has no more entries than a sequence has tokens, reaches the driver. There the
 configuration LP (fewest sequences whose contents cover every length's count) is solved by multiplicative weights, whose
-pricing step is a knapsack dynamic programme over the sequence length. The solution is rounded down to whole multiplicities,
-and the rest of the histogram is filled pattern by pattern: the longest piece left and the exact best fill beside it.
+pricing step is a knapsack dynamic programme over the sequence length. The fractional solution is rounded to whole multiplicities
+that the histogram can bear, the LP of what is left is solved again, and so on; the last few hundredths are filled greedily: the
+longest piece left and the exact best fill beside it. Histograms that fit the sequence badly (many lengths between a third and a
+half of it, say) leave the weights far from their end in bounded rounds; there a rounding that leaves more to the fill may need fewer sequences and counts.
 The plan says, for ranges of ranks within each length, which sequence and offset a piece takes, so its size depends on
 the sequence length and not on the data. A piece's rank is its place among its task's pieces of that length plus the
 counts of the tasks before.
@@ -27,11 +29,14 @@ from .chunked_tokenizer import slices, tokenizer
 from .common import stored
 
 END_ID = 0
-#: Pricing rounds of the multiplicative weights, and their step.
-ROUNDS = 300
-STEP = 0.25
-#: Fills of a sequence from which a fractional configuration is rounded, tried in this order, and the excess that is close enough.
-FILLS, CLOSE = (1.0, 0.97, 0.9, 0.0), 0.001
+#: Pricing rounds of the multiplicative weights (more where few lengths leave few configurations to read from one), configurations
+#: read from one pricing, and the step.
+ROUNDS, MOST_ROUNDS, READ, STEP = 24, 240, 64, 0.2
+#: Linear programmes that are solved one after the other. For each: the room that it lets a configuration leave, in multiples of the
+#: mean room of its fractional solution, and the share of the best one's value that a configuration read from a pricing has or more.
+#: They end when no more than a share ``REST`` of the volume is left.
+PROGRAMMES = (*((room, 0.98) for room in np.geomspace(0.25, 4.0, 14).tolist()), *[(float("inf"), 0.0)] * 8)
+REST, CLOSE = 0.03, 0.001
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -62,49 +67,74 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, id_col: str = "d
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col)).mapInArrow(run, "id long, piece int, start long, length int, ids_crc32 long, part int, nth long")
 
 
-def best_configuration(lengths: np.ndarray, values: np.ndarray, capacity: int) -> dict[int, int]:
-    """The knapsack pricing: counts of each length with the greatest total value in ``capacity``, by dynamic programming."""
-    best = np.zeros(capacity + 1)
-    last = np.full(capacity + 1, -1)
-    upto = np.searchsorted(lengths, np.arange(capacity + 1), side="right")
-    for room in range(1, capacity + 1):
-        best[room] = best[room - 1]
-        if n := upto[room]:
-            total = best[room - lengths[:n]] + values[:n]
-            at = int(total.argmax())
-            if total[at] > best[room]:
-                best[room], last[room] = total[at], at
-    out: dict[int, int] = {}
-    room = capacity
-    while room > 0:
-        if last[room] < 0:
-            room -= 1
-            continue
-        length = int(lengths[last[room]])
-        out[length] = out.get(length, 0) + 1
-        room -= length
-    return out
+class Pricing:
+    """The knapsack dynamic programme: the greatest value for each room, with no more pieces of a length than there are."""
+
+    def __init__(self, lengths: np.ndarray, counts: np.ndarray, values: np.ndarray, capacity: int):
+        self.items = []
+        for n, count, value in zip(lengths.tolist(), counts.tolist(), values.tolist(), strict=True):
+            most, power = min(count, capacity // n), 1
+            while most > 0:
+                take = min(power, most)
+                self.items.append((n, take, take * value))
+                most, power = most - take, 2 * power
+        self.best = np.zeros(capacity + 1)
+        self.took = np.zeros((len(self.items), capacity + 1), bool)
+        for row, (n, take, value) in zip(self.took, self.items, strict=True):
+            size = n * take
+            with_it = self.best[:-size] + value
+            np.greater(with_it, self.best[size:], out=row[size:])
+            np.maximum(with_it, self.best[size:], out=self.best[size:])
+
+    def configuration(self, room: int) -> dict[int, int]:
+        """Counts of each length with the greatest total value in ``room``."""
+        out: dict[int, int] = {}
+        upto = len(self.items)
+        while upto and (taken := self.took[:upto, room].nonzero()[0]).size:
+            upto = int(taken[-1])
+            n, take, _ = self.items[upto]
+            out[n] = out.get(n, 0) + take
+            room -= n * take
+        return out
+
 
+def best_configuration(lengths: np.ndarray, counts: np.ndarray, values: np.ndarray, capacity: int) -> dict[int, int]:
+    """The pricing's answer: counts of each length, at most ``counts``, with the greatest total value in ``capacity``."""
+    return Pricing(lengths, counts, values, capacity).configuration(capacity)
 
-def fractional_configurations(histogram: dict[int, int], capacity: int) -> list[tuple[dict[int, int], float]]:
-    """Configurations and their fractional counts, by multiplicative weights over the covering constraints."""
+
+def fractional_configurations(histogram: dict[int, int], capacity: int, good: float) -> list[tuple[dict[int, int], float]]:
+    """Configurations and their fractional counts, by multiplicative weights over the covering constraints.
+
+    A length's weight falls with the share of its count that is covered. One pricing gives the best configuration and, for the lengths
+    covered least, the best that holds the length, where that has the share ``good`` of the best one's value.
+    """
     lengths = np.array(sorted(histogram), np.int64)
-    demand = np.array([histogram[n] for n in lengths.tolist()], float)
-    weights = lengths * demand / float((lengths * demand).sum())
+    counts = np.array([histogram[n] for n in lengths.tolist()], np.int64)
+    weights = lengths * counts / float((lengths * counts).sum())
     covered = np.zeros(len(lengths))
     used: dict[tuple, float] = {}
     place = {n: i for i, n in enumerate(lengths.tolist())}
-    for _ in range(ROUNDS):
-        config = best_configuration(lengths, weights / demand, capacity)
-        at = np.array([place[n] for n in config])
-        share = np.array([config[n] for n in config]) / demand[at]
-        amount = STEP / share.max()
-        key = tuple(sorted(config.items()))
-        used[key] = used.get(key, 0.0) + amount
-        covered[at] += amount * share
-        weights[at] *= np.exp(-amount * share)
+    for _ in range(min(MOST_ROUNDS, ROUNDS * max(1, READ // len(lengths)))):
+        values = weights / counts
+        pricing = Pricing(lengths, counts, values, capacity)
+        held = [pricing.configuration(capacity)]
+        for at in np.argsort(covered, kind="stable")[:READ].tolist():
+            n = int(lengths[at])
+            config = pricing.configuration(capacity - n)
+            config[n] = config.get(n, 0) + 1
+            if config[n] <= histogram[n] and values[at] + pricing.best[capacity - n] >= good * pricing.best[capacity]:
+                held.append(config)
+        for config in held:
+            at = np.array([place[n] for n in config])
+            share = np.array([config[n] for n in config]) / counts[at]
+            amount = STEP / share.max()
+            key = tuple(sorted(config.items()))
+            used[key] = used.get(key, 0.0) + amount
+            covered[at] += amount * share
+            weights[at] *= np.exp(-amount * share)
         weights /= weights.sum()
-    scale = max(float(np.average(covered, weights=lengths * demand)), 1e-12)
+    scale = max(float(np.average(covered, weights=lengths * counts)), 1e-12)
     return [(dict(key), x / scale) for key, x in used.items()]
 
 
@@ -135,49 +165,57 @@ def _fill(left: dict[int, int], capacity: int) -> dict[int, int]:
     return out
 
 
-def configurations(histogram: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
-    """Configurations and whole counts that together hold the histogram exactly.
-
-    The fractional solution is rounded down with more and more of its partly filled configurations, and the rounding
-    that needs fewest sequences counts; the first that is within ``CLOSE`` of the bound by volume ends the search.
-    """
+def solved(histogram: dict[int, int], capacity: int, programmes: int = len(PROGRAMMES)) -> tuple[list[tuple[dict[int, int], int]], list[tuple[dict[int, int], int]]]:
+    """Configurations and whole counts that together hold the histogram exactly: those of the linear programmes, and the greedy rest."""
     left = {n: c for n, c in histogram.items() if c > 0}
-    out = []
-    if full := left.pop(capacity, 0):
-        out.append(({capacity: 1}, full))
-    if not left:
-        return out
-    fractional = sorted(fractional_configurations(left, capacity), key=lambda c: -c[1])
-    bound = -(-sum(n * c for n, c in left.items()) // capacity)
-    best: list[tuple[dict[int, int], int]] = []
-    for fill in FILLS:
-        now = _rounded(fractional, left, capacity, fill * capacity)
-        if not best or sum(w for _, w in now) < sum(w for _, w in best):
-            best = now
-        if sum(w for _, w in best) <= bound * (1 + CLOSE) + 1:
-            break
-    return out + best
-
+    out: list[tuple[dict[int, int], int]] = []
+    rest: list[tuple[dict[int, int], int]] = []
 
-def _rounded(fractional: list[tuple[dict[int, int], float]], histogram: dict[int, int], capacity: int, least: float) -> list[tuple[dict[int, int], int]]:
-    """Whole multiples of configurations that fill ``least`` or more, and exact fills for the rest."""
-    left, out = dict(histogram), []
-
-    def take(config: dict[int, int], whole: int) -> None:
-        out.append((config, whole))
+    def take(to: list, config: dict[int, int], whole: int) -> None:
+        to.append((config, whole))
         for n, k in config.items():
             left[n] -= whole * k
             if not left[n]:
                 del left[n]
 
-    for config, x in fractional:
-        whole = min([int(x)] + [left.get(n, 0) // k for n, k in config.items()])
-        if whole and sum(n * k for n, k in config.items()) >= least:
-            take(config, whole)
+    if full := left.get(capacity, 0):
+        take(out, {capacity: 1}, full)
+    volume = sum(n * c for n, c in left.items())
+    for part, good in PROGRAMMES[:programmes]:
+        if sum(n * c for n, c in left.items()) <= max(2 * capacity, REST * volume):
+            break
+        fractional = sorted(fractional_configurations(left, capacity, good), key=lambda c: -c[1])
+        rooms = [capacity - sum(n * k for n, k in config.items()) for config, _ in fractional]
+        most = 1 + part * max(1e-9, float(np.average(rooms, weights=[x for _, x in fractional])))
+        carried = 0.0
+        for (config, x), room in zip(fractional, rooms, strict=True):
+            # The fractions lost by rounding down are carried on to the next configuration.
+            carried += x
+            whole = min([int(carried)] + [left.get(n, 0) // k for n, k in config.items()])
+            if whole and room <= most:
+                carried -= int(carried)
+                take(out, config, whole)
     while left:
         config = _fill(left, capacity)
-        take(config, min(left[n] // k for n, k in config.items()))
-    return out
+        take(rest, config, min(left[n] // k for n, k in config.items()))
+    return out, rest
+
+
+def configurations(histogram: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
+    """Configurations and whole counts that together hold the histogram exactly.
+
+    Where the programmes' rounding ends further than ``CLOSE`` from the bound by volume, roundings that leave more to the fill are tried
+    too, and the one of fewest sequences counts.
+    """
+    bound = -(-sum(n * c for n, c in histogram.items()) // capacity)
+    best: list[tuple[dict[int, int], int]] | None = None
+    for programmes in (len(PROGRAMMES), 4, 1, 0):
+        now = [x for part in solved(histogram, capacity, programmes) for x in part]
+        if best is None or sum(w for _, w in now) < sum(w for _, w in best):
+            best = now
+        if sum(w for _, w in best) <= bound * (1 + CLOSE) + 1:
+            break
+    return best
 
 
 def rank_plan(configs: list[tuple[dict[int, int], int]], capacity: int) -> tuple[np.ndarray, ...]:

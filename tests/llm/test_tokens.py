@@ -159,12 +159,42 @@ def test_configurations_hold_the_histogram(histogram):
     assert sum(w for _, w in configs) <= 1.02 * len(bins) + 1
 
 
-def test_pricing_is_the_best_knapsack():
+def test_sequences_come_from_the_linear_programme():
+    """At a few thousand lengths the greedy rest is under 5 % of the sequences that hold more than one full piece, near the bound by volume."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    for lengths in (np.minimum(np.exp(rng.normal(6, 1, 9000)).astype(int) + 1, 2048), np.minimum(np.exp(rng.normal(5, 1.6, 6000)).astype(int) + 1, 2048)):
+        histogram = {int(n): int(c) for n, c in zip(*np.unique(lengths, return_counts=True), strict=True)}
+        configs, rest = packing.solved(histogram, 2048)
+        held = Counter()
+        for config, whole in configs + rest:
+            assert whole > 0 and sum(n * k for n, k in config.items()) <= 2048
+            for n, k in config.items():
+                held[n] += k * whole
+        assert held == Counter(histogram)
+        sequences = sum(w for _, w in configs + rest)
+        assert sum(w for _, w in rest) <= 0.05 * (sequences - histogram.get(2048, 0))
+        assert sequences <= 1.002 * -(-int(lengths.sum()) // 2048) + 1
+
+
+def test_lengths_that_fit_badly():
+    import numpy as np
+
+    lengths = np.random.default_rng(4).integers(20, 2049, 6000)
+    configs = packing.configurations({int(n): int(c) for n, c in zip(*np.unique(lengths, return_counts=True), strict=True)}, 2048)
+    assert sum(w for _, w in configs) <= 1.02 * lengths.sum() / 2048
+
+
+@pytest.mark.parametrize("counts", [(9, 9, 9), (2, 1, 1), (1, 3, 0)])
+def test_pricing_is_the_best_knapsack(counts):
     import itertools
 
     import numpy as np
 
     lengths, values = np.array([3, 5, 7]), np.array([2.0, 4.0, 5.5])
-    got = packing.best_configuration(lengths, values, 17)
-    best = max(sum(k * v for k, v in zip(ks, values, strict=True)) for ks in itertools.product(range(6), range(4), range(3)) if sum(k * n for k, n in zip(ks, lengths, strict=True)) <= 17)
+    got = packing.best_configuration(lengths, np.array(counts), values, 17)
+    assert all(k <= counts[lengths.tolist().index(n)] for n, k in got.items()) and sum(n * k for n, k in got.items()) <= 17
+    ranges = [range(c + 1) for c in counts]
+    best = max(sum(k * v for k, v in zip(ks, values, strict=True)) for ks in itertools.product(*ranges) if sum(k * n for k, n in zip(ks, lengths, strict=True)) <= 17)
     assert sum(k * dict(zip(lengths.tolist(), values.tolist(), strict=True))[n] for n, k in got.items()) == pytest.approx(best)
