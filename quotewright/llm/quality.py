@@ -20,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ChunkCache
-from .labelled import sample_features
+from .common import ChunkCache, discard
+from .labelled import sample_features, sample_rows
 
 BITS = 20
 FIT_ROWS = 8_000
@@ -87,7 +87,9 @@ def _logistic(v: float) -> float:
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", where: Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
     """Weights from the labelled rows for which ``where`` holds."""
     model = Ftrl()
-    sample = sample_features(docs, labels, label_col, FIT_ROWS, features, where, id_col, text_col)
+    chosen = sample_rows(docs, labels, label_col, FIT_ROWS, where, id_col, text_col)
+    sample = sample_features(chosen, features) if chosen is not None else []
+    discard(chosen)
     order = np.random.default_rng(0)
     for _ in range(EPOCHS):
         for i in order.permutation(len(sample)).tolist():

@@ -1,12 +1,13 @@
 """Toxicity: cumulative-link ordinal regression over sparse text features.
 
-Features are the distinct lower-cased words of a text and their beginnings of four and five letters, hashed to 32
+Features are the distinct lower-cased words of a text and the proper beginnings of three to seven letters of longer ones, hashed to 32
 bits. One weight vector is shared by ordered thresholds: P(grade >= k) = logistic(w . x - threshold_k). Its L1-penalised
 likelihood is minimised by proximal gradient steps; the weights that stay above zero are the model. No weight is negative:
 a clean word must not make up for a toxic one, however long the text.
 
 Labels say only whether a text is toxic, so grades are made from them: 0 clean, 1 toxic, 2 toxic with two or more
-different word beginnings that occur (nearly) only in toxic rows of the sample. A text is rejected when
+different words that occur (nearly) only in toxic rows of the sample. The penalty and the cut are chosen on folds of the sample
+that the fit did not see; the thresholds are then moved so that one half is the cut. A text is rejected when
 P(grade >= 1) >= 0.5; the expected severity is the sum of P(grade >= k).
 
 Fitting takes ``FIT_ROWS`` labelled rows at most (those with the smallest id hashes); scoring reads every whole text.
@@ -25,18 +26,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ChunkCache
-from .labelled import sample_features
+from .common import ChunkCache, discard
+from .labelled import sample_features, sample_rows
 
 FIT_ROWS = 10_000
-#: Features in fewer sample rows than this are not used; of the others the model considers this many.
-LEAST_ROWS, MOST_FEATURES = 4, 20_000
-L1 = 1.0
-ROUNDS = 300
+#: Features are used that this many sample rows and this share of the rows that hold them make toxic; of those the model considers so many.
+LEAST_ROWS, LEAST_SHARE, MOST_FEATURES = 3, 0.3, 20_000
+#: Penalties and cuts to choose from, folds, and how many caught toxic rows outweigh one rejected clean row, both as shares of their kind.
+PENALTIES, CUTS = (0.25, 0.5, 1.0), (0.2, 0.3, 0.4, 0.5)
+FOLDS, REJECTED_COST = 3, 10
+ROUNDS = 200
 GRADES = 3
+BEGINNINGS = range(3, 8)
 
 _words = re.compile(r"[^\W\d_]+").findall
-BEGIN = 4
 
 
 def _chunk_features(chunk: str) -> bytes:
@@ -44,10 +47,9 @@ def _chunk_features(chunk: str) -> bytes:
 
     out = []
     for word in _words(chunk.lower()):
-        for kind, part in (("b", word[:BEGIN]), ("c", word[: BEGIN + 1]), ("w", word)):
-            if kind == "w" or len(word) > len(part):
-                # The lowest bit tells beginnings of four letters from other features.
-                out.append((xxhash.xxh32(f"{kind}:{part}".encode("utf-8", "replace")).intdigest() & ~1 | (kind == "b")).to_bytes(4, "little"))
+        # The lowest bit tells whole words from beginnings.
+        out.append((xxhash.xxh32_intdigest(f"w:{word}".encode("utf-8", "replace")) | 1).to_bytes(4, "little"))
+        out += [(xxhash.xxh32_intdigest(f"{n}:{word[:n]}".encode("utf-8", "replace")) & ~1).to_bytes(4, "little") for n in BEGINNINGS if n < len(word)]
     return b"".join(out)
 
 
@@ -60,6 +62,14 @@ def features(text: str | None) -> np.ndarray:
     return np.unique(np.frombuffer(_cache[0].gather(set((text or "").split())), "<u4"))
 
 
+def among(found: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Places in ``wanted`` (ascending) of those of ``found`` that it holds."""
+    if not len(wanted):
+        return np.zeros(0, np.int64)
+    at = np.minimum(np.searchsorted(wanted, found), len(wanted) - 1)
+    return at[wanted[at] == found]
+
+
 class Model:
     """Thresholds in ascending order, and the features (ascending) with their weights."""
 
@@ -68,10 +78,7 @@ class Model:
 
     def exceed(self, found: np.ndarray) -> np.ndarray:
         """P(grade >= k) for k from 1, for a text's distinct features."""
-        if not len(self.ids):
-            return _logistic(-self.thresholds)
-        at = np.minimum(np.searchsorted(self.ids, found), len(self.ids) - 1)
-        return _logistic(self.weights[at[self.ids[at] == found]].sum() - self.thresholds)
+        return _logistic(self.weights[among(found, self.ids)].sum() - self.thresholds)
 
 
 def _logistic(v):
@@ -81,19 +88,57 @@ def _logistic(v):
 def grades(sample: list[tuple[int, np.ndarray]]) -> np.ndarray:
     """Severity grades of sample rows."""
     toxic = np.array([label > 0 for label, _ in sample], bool)
-    begins = [ids[ids & 1 == 1] for _, ids in sample]
-    rows = np.repeat(np.arange(len(sample)), [len(b) for b in begins])
-    values, place = np.unique(np.concatenate(begins), return_inverse=True)
+    words = [ids[ids & 1 == 1] for _, ids in sample]
+    rows = np.repeat(np.arange(len(sample)), [len(w) for w in words])
+    values, place = np.unique(np.concatenate(words), return_inverse=True)
     n, bad = np.bincount(place, minlength=len(values)), np.bincount(place, toxic[rows], minlength=len(values))
-    marker = (n >= LEAST_ROWS) & (bad >= 0.9 * n)
+    marker = (bad >= LEAST_ROWS) & (bad >= 0.9 * n)
     hits = np.bincount(rows, marker[place], minlength=len(sample))
     return np.where(toxic, np.where(hits >= 2, 2, 1), 0)
 
 
+def _nothing() -> Model:
+    return Model(np.array([35.0, 36.0]), np.zeros(0, np.uint32), np.zeros(0))
+
+
+def useful(sample: list[tuple[int, np.ndarray]]) -> list[tuple[int, np.ndarray]]:
+    """The sample with those features alone that may speak for toxicity."""
+    toxic = np.array([label > 0 for label, _ in sample], bool)
+    rows = np.repeat(np.arange(len(sample)), [len(ids) for _, ids in sample])
+    ids, column = np.unique(np.concatenate([ids for _, ids in sample]), return_inverse=True)
+    bad = np.bincount(column, toxic[rows], minlength=len(ids))
+    good = ids[(bad >= LEAST_ROWS) & (bad >= LEAST_SHARE * np.bincount(column, minlength=len(ids)))]
+    return [(label, good[among(found, good)]) for label, found in sample]
+
+
 def fit_sample(sample: list[tuple[int, np.ndarray]]) -> Model:
-    nothing = Model(np.array([35.0, 36.0]), np.zeros(0, np.uint32), np.zeros(0))
+    """The model with the penalty and the cut that serve rows best which the fit did not see."""
+    if not any(label > 0 for label, _ in sample):
+        return _nothing()
+    sample = useful(sample)
+    toxic = np.array([label > 0 for label, _ in sample], bool)
+    fold = np.empty(len(sample), np.int64)
+    for kind in (toxic, ~toxic):
+        fold[kind] = np.arange(kind.sum()) % FOLDS
+    best = (-np.inf, PENALTIES[-1], 0.5)
+    for penalty in PENALTIES[::-1]:
+        p = np.zeros(len(sample))
+        for k in range(FOLDS):
+            model = fit_grades([x for x, f in zip(sample, fold, strict=True) if f != k], penalty)
+            for i in np.flatnonzero(fold == k).tolist():
+                p[i] = model.exceed(sample[i][1])[0]
+        for cut in CUTS[::-1]:
+            value = (p[toxic] >= cut).mean() - REJECTED_COST * ((p[~toxic] >= cut).mean() if (~toxic).any() else 0)
+            if value > best[0] + 1e-9:
+                best = (value, penalty, cut)
+    model = fit_grades(sample, best[1])
+    return Model(model.thresholds + np.log(best[2] / (1 - best[2])), model.ids, model.weights)
+
+
+def fit_grades(sample: list[tuple[int, np.ndarray]], penalty: float) -> Model:
+    """Thresholds and weights of the sample's grades."""
     if not any(label > 0 for label, _ in sample):
-        return nothing
+        return _nothing()
     y = grades(sample)
     rows = np.repeat(np.arange(len(sample)), [len(ids) for _, ids in sample])
     ids, column = np.unique(np.concatenate([ids for _, ids in sample]), return_inverse=True)
@@ -112,15 +157,20 @@ def fit_sample(sample: list[tuple[int, np.ndarray]]) -> Model:
 
     first = slope(cumulative(np.zeros(len(y))))
     pull = -np.bincount(column, first[rows], minlength=len(ids))
-    pull[np.bincount(column, minlength=len(ids)) < LEAST_ROWS] = 0
+    pull[np.bincount(column, y[rows] > 0, minlength=len(ids)) < LEAST_ROWS - 1] = 0
     use = np.sort(np.argsort(-pull, kind="stable")[:MOST_FEATURES])
-    use = use[pull[use] > L1]
+    use = use[pull[use] > penalty]
     if not len(use):
-        return nothing
+        return _nothing()
     new = np.full(len(ids), -1)
     new[use] = np.arange(len(use))
     keep = new[column] >= 0
     rows, column, ids = rows[keep], new[column[keep]], ids[use]
+    # Rows that hold none of the features differ in their grade alone, so one of each grade stands for all.
+    some = np.unique(rows)
+    alone = np.bincount(np.delete(y, some), minlength=GRADES)
+    rows, y = np.searchsorted(some, rows), np.concatenate((y[some], np.arange(GRADES)))
+    stands = np.concatenate((np.ones(len(some)), alone))
     w, past, past_t = np.zeros(len(ids)), np.full(len(ids), 1e-6), np.full(GRADES - 1, 1e-6)
     for _ in range(ROUNDS):
         c = cumulative(np.bincount(rows, w[column], minlength=len(y)))
@@ -128,18 +178,35 @@ def fit_sample(sample: list[tuple[int, np.ndarray]]) -> Model:
         g = np.bincount(column, s[rows], minlength=len(ids))
         past += g * g
         step = 0.5 / np.sqrt(past)
-        w = w - step * g
-        w = np.maximum(w - step * L1, 0)
+        w = np.maximum(w - step * (g + penalty), 0)
         p = np.maximum(c[np.arange(len(y)), y + 1] - c[np.arange(len(y)), y], 1e-12)
-        gt = np.array([((y == k + 1) * c[:, k + 1] * (1 - c[:, k + 1]) / p - (y == k) * c[:, k + 1] * (1 - c[:, k + 1]) / p).sum() for k in range(GRADES - 1)])
+        bend = [c[:, k + 1] * (1 - c[:, k + 1]) * stands / p for k in range(GRADES - 1)]
+        gt = np.array([bend[k][y == k + 1].sum() - bend[k][y == k].sum() for k in range(GRADES - 1)])
         past_t += gt * gt
         thresholds = np.maximum.accumulate(thresholds - 0.5 / np.sqrt(past_t) * gt + np.arange(GRADES - 1) * 1e-9)
     kept = w != 0
     return Model(thresholds, ids[kept], w[kept])
 
 
+def frequent(sample: list[tuple[int, np.ndarray]]) -> np.ndarray:
+    """The features, ascending, of ``LEAST_ROWS`` rows or more."""
+    ids, n = np.unique(np.concatenate([np.zeros(0, np.uint32), *(ids for _, ids in sample)]), return_counts=True)
+    return ids[n >= LEAST_ROWS]
+
+
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", where=None, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    return fit_sample(sample_features(docs, labels, label_col, FIT_ROWS, features, where, id_col, text_col))
+    """The model of the sample; of its clean rows the driver gets only the features that may be in the model, as the toxic rows have them."""
+    chosen = sample_rows(docs, labels, label_col, FIT_ROWS, where, id_col, text_col)
+    if chosen is None:
+        return _nothing()
+    wanted = frequent(sample_features(chosen.where("label > 0"), features))
+
+    def some(text: str | None) -> np.ndarray:
+        return wanted[among(features(text), wanted)]
+
+    sample = sample_features(chosen, some)
+    discard(chosen)
+    return fit_sample(sample)
 
 
 def _scorer(model: Model):
