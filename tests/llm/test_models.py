@@ -62,6 +62,99 @@ def test_toxicity_edges(spark, docs, rows, none):
     assert not any(r.toxic for r in toxicity.score(docs, clean).collect())
 
 
+def test_toxicity_as_stated(spark, corpus):
+    """Scores, from the model's weights and the words of a text alone; other endings of known beginnings are found."""
+    import re
+
+    import xxhash
+
+    rows, labels, _ = corpus
+    model = toxicity.fit(frame(spark, rows), labels)
+    weight = dict(zip(model.ids.tolist(), model.weights.tolist(), strict=True))
+    texts = [*rows, (9000, "An IDIOTESQUE remark, worthlessly put"), (9001, None), (9002, "12 _ 34")]
+    got = {r.id: r for r in toxicity.score(frame(spark, texts), model).collect()}
+    for i, text in texts:
+        parts = set()
+        for word in re.findall(r"[^\W\d_]+", (text or "").lower()):
+            parts.add(xxhash.xxh32_intdigest(f"w:{word}") | 1)
+            parts |= {xxhash.xxh32_intdigest(f"{n}:{word[:n]}") & ~1 for n in range(3, min(8, len(word)))}
+        total = sum(weight.get(x, 0.0) for x in parts)
+        p = [1 / (1 + np.exp(t - total)) for t in model.thresholds]
+        assert got[i].p_toxic == pytest.approx(p[0]) and got[i].expected_severity == pytest.approx(sum(p))
+        assert got[i].severity == sum(x >= 0.5 for x in p)
+    assert got[9000].toxic and not got[9001].toxic
+
+
+def test_cumulative_link_gradient():
+    """The fit stops where no step along a weight or a threshold makes the penalised likelihood better."""
+    rng = np.random.default_rng(2)
+    bad, sample = np.array([3, 5, 7], np.uint32), []
+    for _ in range(600):
+        found = bad[rng.random(3) < 0.15]
+        toxic = int(rng.random() < 1 / (1 + np.exp(2 - 3 * len(found))))
+        sample.append((toxic, np.concatenate((found, rng.choice(np.arange(11, 60, 2), 4, replace=False))).astype(np.uint32)))
+    model = toxicity.fit_grades(sample, 0.5)
+    y = toxicity.grades(sample)
+
+    def loss(thresholds, weights):
+        total = 0.0
+        for (_, ids), grade in zip(sample, y, strict=True):
+            v = sum(weights.get(int(i), 0.0) for i in ids)
+            c = [0.0, *[1 / (1 + np.exp(v - t)) for t in thresholds], 1.0]
+            total -= np.log(max(c[grade + 1] - c[grade], 1e-12))
+        return total + 0.5 * sum(weights.values())
+
+    weights = dict(zip(model.ids.tolist(), model.weights.tolist(), strict=True))
+    here = loss(model.thresholds, weights)
+    assert set(weights) & {3, 5, 7} == {3, 5, 7}
+    for i in weights:
+        for step in (-0.3, 0.3):
+            assert loss(model.thresholds, weights | {i: max(0.0, weights[i] + step)}) >= here - 0.05
+
+
+def test_quality_as_stated(spark, corpus):
+    """The update and the score, written out plainly over the same hashed features."""
+    import re
+
+    import xxhash
+
+    rows, labels, _ = corpus
+    rows = [(i, t) for i, t in rows if i < 120]
+    docs = frame(spark, rows)
+    texts = dict(rows)
+
+    def inputs(text):
+        tokens = [xxhash.xxh32_intdigest(t) for t in re.findall(r"\w+|[^\w\s]+", text)]
+        pairs = [a * 0x9E3779B1 % 2**32 ^ b for a, b in zip(tokens, tokens[1:])]
+        repeated = 1 - len(set(pairs)) / len(pairs) if pairs else 0.0
+        found = {x >> 32 - quality.BITS for x in [*tokens, *(p * 0x85EBCA6B % 2**32 for p in pairs)]}
+        out = {2**quality.BITS: 1.0, 2**quality.BITS + 1 + int(repeated * quality.REPEAT_STEPS): 1.0}
+        return out | {x: 1 / max(1, len(found)) ** 0.5 for x in found}
+
+    z: dict[int, float] = {}
+    n: dict[int, float] = {}
+
+    def weight(x):
+        v = z.get(x, 0.0)
+        return 0.0 if abs(v) <= quality.L1 else -(v - np.sign(v) * quality.L1) / ((quality.BETA + n[x] ** 0.5) / quality.ALPHA + quality.L2)
+
+    sample = sorted((r.doc_id, int(r.quality)) for r in labels.collect() if r.doc_id in texts and r.quality is not None)
+    order = np.random.default_rng(0)
+    for _ in range(quality.EPOCHS):
+        for at in order.permutation(len(sample)).tolist():
+            i, label = sample[at]
+            x = inputs(texts[i])
+            w = {f: weight(f) for f in x}
+            p = 1 / (1 + np.exp(-sum(w[f] * v for f, v in x.items())))
+            for f, v in x.items():
+                g = (p - label) * v
+                z[f] = z.get(f, 0.0) + g - ((n.get(f, 0.0) + g * g) ** 0.5 - n.get(f, 0.0) ** 0.5) / quality.ALPHA * w[f]
+                n[f] = n.get(f, 0.0) + g * g
+    for r in quality.score(docs, quality.fit(docs, labels)).collect():
+        v = sum(weight(f) * v for f, v in inputs(texts[r.id]).items())
+        assert r.score == pytest.approx(1 / (1 + np.exp(-v)), abs=1e-5)
+
+
 def test_quality_on_held_out_rows(spark, corpus):
     rows, labels, known = corpus
     docs = frame(spark, rows)
@@ -85,7 +178,7 @@ def test_quality_edges(spark, docs, rows, none):
 
 def test_score_reads_whole_texts(spark):
     rng = random.Random(9)
-    model = toxicity.Model(np.array([1.0, 2.0]), np.sort(np.frombuffer(toxicity._chunk_features("scumbag"), "<u4").astype(np.uint32)), np.full(3, 2.0))
+    model = toxicity.Model(np.array([1.0, 2.0]), np.sort(np.frombuffer(toxicity._chunk_features("scumbag"), "<u4").astype(np.uint32)), np.full(5, 2.0))
     long = prose(rng, 30_000) + " scumbag"
     assert [r.toxic for r in toxicity.score(frame(spark, [(1, long)]), model).collect()] == [True]
 
@@ -125,6 +218,31 @@ def test_neighbours(spark, n):
     assert hits >= 0.9 * total
 
 
+def test_neighbours_with_partial_probing(spark, monkeypatch):
+    """5,500 vectors around centres, of which far from all lists are probed, with several groups of lists and blocks of rows."""
+    rng = np.random.default_rng(8)
+    centres = rng.standard_normal((60, 24))
+    at = (centres[rng.integers(0, 60, 5500)] + 0.35 * rng.standard_normal((5500, 24))).round(4)
+    probed = []
+    found_probes = ann.probes_for
+    monkeypatch.setattr(ann, "BLOCK_ROWS", 700)
+    monkeypatch.setattr(ann, "probes_for", lambda *a: probed.append((found_probes(*a), len(a[1]))) or probed[-1][0])
+    got: dict[int, list] = {}
+    for r in ann.nearest(vectors(spark, list(enumerate(at.tolist()))), F.col("id") % 50 == 0).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert probed[0][0] <= 0.3 * probed[0][1]
+    u = at.astype(np.float32).astype(float)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    hits = 0
+    for q in range(0, 5500, 50):
+        s = u @ u[q]
+        s[q] = -2
+        best = np.lexsort((np.arange(5500), -s))[:5].tolist()
+        assert len(got[q]) == 5 and all(abs(score - s[i]) < 1e-9 for i, score in got[q])
+        hits += len({i for i, _ in got[q]} & set(best))
+    assert hits >= 0.9 * 5 * 110
+
+
 def test_no_vectors(spark):
     assert ann.nearest(vectors(spark, []), F.col("id") % 5 == 0).count() == 0
     assert ann.nearest(vectors(spark, [(1, None)]), F.col("id") % 5 == 0).count() == 0
