@@ -117,36 +117,36 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, n, component, token) for each shingle of a text."""
+    """(node, token) for each shingle of a text."""
     import numpy as np
 
     for batch in batches:
-        found = [shingles(t.as_py()) for t in batch.column(3)]
-        sizes = [len(f) for f in found]
-        own = [pa.array(np.repeat(batch.column(c).to_numpy(zero_copy_only=False), sizes)) for c in range(3)]
+        found = [shingles(t.as_py()) for t in batch.column(1)]
         flat = np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays([*own, pa.array(flat)], ["node", "n", "component", "token"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(zero_copy_only=False), [len(f) for f in found])), pa.array(flat)], ["node", "token"])
 
 
 def _class(size: Column) -> Column:
     return F.floor(F.log(size) * CLASSES).cast("int")
 
 
-def _prefixes(texts: DataFrame) -> DataFrame:
+def _prefixes(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     """(node, n, component, rank, token, own, lo, hi): the rarest shingles of each text, one of which any similar text shares.
 
-    ``texts`` has (node, n, component, text). Of texts of n and k shingles, similar ones share at least s = 4/9 (n + k), so one of
-    the first n - s + 1 of the one and k - s + 1 of the other. A shingle goes to the classes of those sizes k for which it is among the
-    first; ``lo`` and ``hi`` are the classes of the pair, ``own`` the text's.
+    ``nodes`` has (node, n, component), ``texts`` (node, text). Of texts of n and k shingles, similar ones share at least s = 4/9 (n + k),
+    so one of the first n - s + 1 of the one and k - s + 1 of the other. A shingle goes to the classes of those sizes k for which it is
+    among the first; ``lo`` and ``hi`` are the classes of the pair, ``own`` the text's.
     """
-    tokens = stored(texts.mapInArrow(_tokens, "node long, n int, component long, token long"), "similar-tokens", BATCH_ROWS)
-    counts = tokens.groupBy("token").agg(F.count("*").alias("held"))
-    ranked = tokens.join(counts, "token").withColumn("rank", F.row_number().over(Window.partitionBy("node").orderBy("held", "token")))
+    tokens = stored(texts.join(nodes.select("node"), "node", "left_semi").select("node", "text").mapInArrow(_tokens, "node long, token long"), "similar-tokens", BATCH_ROWS)
+    counts = tokens.groupBy("token").agg(F.count("*").alias("held")).where("held > 1")
+    shared = tokens.join(counts, "token").withColumn("at", F.row_number().over(Window.partitionBy("node").orderBy("held", "token"))).withColumn("m", F.count("*").over(Window.partitionBy("node")))
+    # Shingles that no other text holds come first.
+    ranked = shared.join(nodes, "node").withColumn("rank", F.col("n") - F.col("m") + F.col("at"))
     near, whole = SIMILARITY
     # s <= n - rank + 1 bounds k from above; the similarity itself bounds it from below.
     most = (F.col("n") - F.col("rank") + 1) * (near + whole) / near - F.col("n") + 1e-6
     least = F.greatest(F.col("n") * near / whole - 1e-6, F.lit(1.0))
-    first = ranked.where((F.col("held") > 1) & (most >= least)).select("node", "n", "component", "rank", "token", _class(F.col("n")).alias("own"), F.explode(F.sequence(_class(least), _class(F.least(most, F.col("n") * whole / near + 1e-6)))).alias("other"))
+    first = ranked.where(most >= least).select("node", "n", "component", "rank", "token", _class(F.col("n")).alias("own"), F.explode(F.sequence(_class(least), _class(F.least(most, F.col("n") * whole / near + 1e-6)))).alias("other"))
     first = stored(first.select("node", "n", "component", "rank", "token", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi")), "similar-prefixes")
     met = first.groupBy("token", "lo", "hi").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.min("own").alias("a"), F.max("own").alias("b")).where("least <> most AND a = lo AND b = hi")
     first = stored(first.join(met.select("token", "lo", "hi"), ["token", "lo", "hi"]), "similar-met")
@@ -172,59 +172,69 @@ def _pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     return met.select(F.least("node", "m").alias("a"), F.greatest("node", "m").alias("b")).distinct()
 
 
-def _fingerprint_pairs(sketches: DataFrame) -> DataFrame:
+def _fingerprint_pairs(nodes: DataFrame) -> DataFrame:
     """(a, b) of nodes whose fingerprints lie within the radius of ``simhash``; nodes of one fingerprint meet its least."""
-    prints = stored(sketches.groupBy("fp").agg(F.min("node").alias("least")), "similar-prints")
+    prints = stored(nodes.groupBy("fp").agg(F.min("node").alias("least")), "similar-prints")
     near = simhash.links(prints.select("fp"))
     one, two = prints.select(F.col("fp").alias("a"), F.col("least").alias("x")), prints.select(F.col("fp").alias("b"), F.col("least").alias("y"))
-    same = sketches.join(prints, "fp").where("node <> least").select(F.col("node").alias("x"), F.col("least").alias("y"))
+    same = nodes.join(prints, "fp").where("node <> least").select(F.col("node").alias("x"), F.col("least").alias("y"))
     found = near.join(one, "a").join(two, "b").select("x", "y").union(same)
     return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
-def links(sketches: DataFrame, texts: DataFrame) -> DataFrame:
+def links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     """(a, b) pairs of similar nodes: enough of them to keep every connection.
 
-    ``sketches`` has (node, n, keys, fp), a row for each node; ``texts`` has (node, text).
+    ``nodes`` has (node, first, n, keys, fp), where ``first`` is a document of the node; ``texts`` has (id, text).
     """
+    bands = nodes.select("node", "n", F.explode("keys").alias("key"))
+    shared = bands.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    members = stored(bands.join(shared, "key"), "similar-members")
+    close = stored(_fingerprint_pairs(nodes), "similar-close")
+    wanted = members.select("node").union(close.select("a")).union(close.select("b")).distinct()
+    wanted = nodes.select("node", F.col("first").alias("id")).join(wanted, "node")
+    # Only the texts of candidates are read from here on.
+    held = stored(texts.join(wanted, "id").select("node", "text"), "similar-texts")
 
     def verify(pairs: DataFrame, label: str) -> DataFrame:
         pairs = stored(pairs, f"similar-{label}-pairs")
-        one = texts.select(F.col("node").alias("a"), F.col("text").alias("s"))
-        two = texts.select(F.col("node").alias("b"), F.col("text").alias("t"))
+        one = held.select(F.col("node").alias("a"), F.col("text").alias("s"))
+        two = held.select(F.col("node").alias("b"), F.col("text").alias("t"))
         # The join on the greater end comes first, so that the rows of one lesser end lie together.
         rows = pairs.join(two, "b").join(one, "a").select("a", "b", "s", "t")
         found = stored(rows.mapInArrow(_verified, "a long, b long"), f"similar-{label}", BATCH_ROWS)
         discard(pairs)
         return found
 
-    bands = sketches.select("node", "n", F.explode("keys").alias("key"))
-    sizes = stored(bands.groupBy("key").agg(F.count("*").alias("size"), *[F.min(F.struct(F.xxhash64("node", F.lit(i)).alias("h"), "node", "n")).alias(f"c{i}") for i in range(CENTRES)]).where("size > 1"), "similar-buckets")
-    members = stored(bands.join(sizes.select("key", "size"), "key"), "similar-members")
-    small = members.where(F.col("size") <= PAIR_CAP)
+    small = members.where(F.col("size") <= PAIR_CAP).select("key", "node", "n")
     large = members.where(F.col("size") > PAIR_CAP).select("key", "node", "n")
-    centres = sizes.where(F.col("size") > PAIR_CAP).select("key", F.explode(F.array(*[f"c{i}" for i in range(CENTRES)])).alias("c")).select("key", "c.node", "c.n").distinct()
-    close = _fingerprint_pairs(sketches)
-    found = verify(_pairs(small.select("key", "node", "n"), small.select("key", "node", "n")).union(_pairs(large, centres)).union(close).distinct(), "links")
+    least = large.groupBy("key").agg(*[F.min(F.struct(F.xxhash64("node", F.lit(i)).alias("h"), "node", "n")).alias(f"c{i}") for i in range(CENTRES)])
+    centres = least.select("key", F.explode(F.array(*[f"c{i}" for i in range(CENTRES)])).alias("c")).select("key", "c.node", "c.n").distinct()
+    found = verify(_pairs(small, small).union(_pairs(large, centres)).union(close).distinct(), "links")
+    discard(close)
     if large.isEmpty():
+        discard(members, held)
         return found
     parts = connected_components(found, "similar-first").withColumnRenamed("node", "x")
     placed = large.join(parts, F.col("node") == F.col("x"), "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
     placed = stored(placed, "similar-placed")
     mixed = placed.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("key")
-    rest = stored(placed.join(mixed, "key"), "similar-rest")
+    rest = stored(placed.join(mixed, "key").select("node", "n", "component").distinct(), "similar-rest")
+    discard(members, placed)
     if rest.isEmpty():
+        discard(held)
         return found
-    first = _prefixes(rest.select("node", "n", "component").distinct().join(texts, "node").select("node", "n", "component", "text"))
-    return found.union(verify(_prefix_pairs(first), "more-links"))
+    first = _prefixes(rest, held)
+    more = verify(_prefix_pairs(first), "more-links")
+    discard(first, rest, held)
+    return found.union(more)
 
 
 def _components(texts: DataFrame) -> DataFrame:
     """(id, node, component_id) for each row of ``texts`` (id, text)."""
     sketches = stored(texts.mapInArrow(_sketches, "id long, node long, n int, keys array<long>, fp long"), "similar-sketches")
     nodes = stored(sketches.groupBy("node").agg(F.min("id").alias("first"), *[F.first(c).alias(c) for c in ("n", "keys", "fp")]), "similar-nodes")
-    held = texts.join(nodes.select(F.col("first").alias("id"), "node"), "id").select("node", "text")
-    edges = stored(links(nodes.select("node", "n", "keys", "fp"), held), "similar-edges")
+    edges = stored(links(nodes, texts), "similar-edges")
     parts = connected_components(edges, "similar")
     named = nodes.select("node", "first").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = stored(named, "similar-named")
