@@ -53,3 +53,9 @@ def realized(act: Column, long: Column, short: Column) -> Column:
 def lot_weight(horizon: Column, symbols: int = 8, horizons: int = 3) -> Column:
     """Capital share of one lot: equal sleeves, each spread over the lots open at a time."""
     return F.lit(1.0) / symbols / horizons / (horizon.cast("double") / 5)
+
+
+def elapsed_seconds_log1p(seconds: Column) -> Column:
+    """The logarithm of one plus a bar's elapsed seconds; null stays null, a negative or non-finite value is an error."""
+    valid = (seconds >= 0) & finite(seconds)
+    return F.when(seconds.isNull(), F.lit(None).cast("double")).when(valid, F.log1p(seconds)).otherwise(F.raise_error(F.lit("elapsed seconds must be finite and not negative")).cast("double"))

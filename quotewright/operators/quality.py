@@ -9,6 +9,25 @@ from ..contracts import BAR, COMPUTE_ALLOWANCE, LATENCY, MAX_CLOCK_LEAD, MINUTE,
 from ..functions.expressions import action, finite, holds, price_check
 
 
+#: Rows of one stretch of physical order, within which each row meets the one before it.
+STRETCH = 1_000_000
+
+
+def with_previous(ticks: DataFrame, *columns: str) -> DataFrame:
+    """``ticks`` with ``__before_<column>``: the value of the symbol's row before, in physical order ``seq``; null for the first.
+
+    Rows are ordered within stretches of ``seq`` and the last row of each stretch is carried to the next, so a symbol's ticks are not
+    sorted in one task; ordering stretches takes one row for each.
+    """
+    cut = ticks.withColumn("__stretch", F.floor(F.col("seq") / STRETCH))
+    last = cut.groupBy("symbol", "__stretch").agg(F.max_by(F.struct(*columns), "seq").alias("__last"))
+    carried = last.select("symbol", "__stretch", F.lag("__last").over(Window.partitionBy("symbol").orderBy("__stretch")).alias("__carried"))
+    w = Window.partitionBy("symbol", "__stretch").orderBy("seq")
+    rows = cut.withColumn("__first", F.row_number().over(w) == 1).withColumns({f"__lag_{c}": F.lag(c).over(w) for c in columns}).join(carried, ["symbol", "__stretch"])
+    before = {f"__before_{c}": F.when(F.col("__first"), F.col(f"__carried.{c}")).otherwise(F.col(f"__lag_{c}")) for c in columns}
+    return rows.withColumns(before).drop("__stretch", "__first", "__carried", *[f"__lag_{c}" for c in columns])
+
+
 def price_flags() -> dict[str, Column]:
     bid, ask, mid, spread = (F.col(c) for c in PRICES)
     return {
@@ -32,8 +51,7 @@ def tick_quality(ticks: DataFrame) -> DataFrame:
 
 def tick_order(ticks: DataFrame) -> DataFrame:
     """Rows that step back in time in physical order, and the largest forward gap (microseconds)."""
-    before = F.lag("ts").over(Window.partitionBy("symbol").orderBy("seq"))
-    return ticks.select("symbol", (F.col("ts") - before).alias("gap")).groupBy("symbol").agg(F.count_if(F.expr("gap < 0")).alias("out_of_order"), F.coalesce(F.max(F.when(F.col("gap") > 0, F.col("gap"))), F.lit(0)).alias("max_gap"))
+    return with_previous(ticks, "ts").select("symbol", (F.col("ts") - F.col("__before_ts")).alias("gap")).groupBy("symbol").agg(F.count_if(F.expr("gap < 0")).alias("out_of_order"), F.coalesce(F.max(F.when(F.col("gap") > 0, F.col("gap"))), F.lit(0)).alias("max_gap"))
 
 
 def tick_duplicates(ticks: DataFrame) -> DataFrame:
@@ -54,16 +72,15 @@ def receipt_audit(ticks: DataFrame) -> DataFrame:
 
     A symbol with any null gets its rows and nulls counted and nothing else.
     """
-    w = Window.partitionBy("symbol").orderBy("seq")
     needed = ("provider_ts", "received_at", "ingest_seq", *PRICES)
-    rows = ticks.select("*", F.lag("provider_ts").over(w).alias("__p"), F.lag("received_at").over(w).alias("__r"), F.lag("ingest_seq").over(w).alias("__s"))
+    rows = with_previous(ticks, "provider_ts", "received_at", "ingest_seq")
     odd = sum((F.count_if(~finite(F.col(c))) for c in PRICES[1:]), F.count_if(~finite(F.col("bid"))))
     checks = {
         "non_finite_values": odd,
         **{k: F.count_if(c) for k, c in price_flags().items()},
-        "provider_out_of_order": F.count_if(F.col("provider_ts") < F.col("__p")),
-        "receipt_out_of_order": F.count_if(F.col("received_at") < F.col("__r")),
-        "sequence_not_increasing": F.count_if(F.col("ingest_seq") <= F.col("__s")),
+        "provider_out_of_order": F.count_if(F.col("provider_ts") < F.col("__before_provider_ts")),
+        "receipt_out_of_order": F.count_if(F.col("received_at") < F.col("__before_received_at")),
+        "sequence_not_increasing": F.count_if(F.col("ingest_seq") <= F.col("__before_ingest_seq")),
         "clock_lead_violations": F.count_if(F.col("provider_ts") - F.col("received_at") > MAX_CLOCK_LEAD),
         "max_delivery_latency": F.greatest(F.coalesce(F.max(F.col("received_at") - F.col("provider_ts")), F.lit(0)), F.lit(0)),
     }

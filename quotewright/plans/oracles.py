@@ -236,6 +236,7 @@ ORACLE_SQL: dict[str, str] = {
     "project_v1": f"WITH {BARS1} SELECT {_V1} FROM bars",
     "bar_check": f"WITH {BARS1}, {_LAGGED} {checks('lagged', _BAR_CHECKS)}",
     "label_bar_check": f"WITH {BARS1}, {_LAGGED} {checks('lagged', _LABEL_CHECKS)}",
+    "elapsed_log1p": f"WITH {FEATURES} SELECT symbol, bar_end, round(ln(1 + elapsed_seconds), 8) AS elapsed_seconds_log1p FROM feat",
     "features_v1": f"WITH {FEATURES} SELECT symbol, bar_end, {rounded(*FEATURE_NAMES)} FROM feat",
     "features_v2": f"WITH {BARS2}{_FEATURE_SQL}, rolled AS (SELECT *, {_rolling()} FROM feat WINDOW v3 AS (PARTITION BY symbol, seg ORDER BY bar_end ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), v12 AS (PARTITION BY symbol, seg ORDER BY bar_end ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)) SELECT symbol, bar_end, {rounded(*FEATURE_NAMES, *_TAIL)} FROM rolled",
     "tail_context": f"WITH {BARS1} SELECT symbol, bar_end, {r('mid_close', 'mid_close')}, quote_count FROM bars WHERE bar_end <= {START + 8 * HOUR} QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY bar_end DESC) <= 73",

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..contracts import FEATURES_V1, HORIZONS, MINUTE, PAIRS, ScreenGates, WalkForwardPlan
 from ..functions.calendar import expected_boundaries
-from ..functions.expressions import lot_weight
+from ..functions.expressions import elapsed_seconds_log1p, lot_weight
 from ..operators import bars as B
 from ..operators import coverage as C
 from ..operators import crosspair as X
@@ -173,29 +173,41 @@ def _simulated(spark, d):
 
 
 def _stream(spark, d):
-    """The streaming operator over the receipt-time ticks, written and read as a stream in several micro-batches."""
+    """The streaming operator over the receipt-time ticks, which arrive in three parts: open bars and watermarks are carried from one run to the next."""
     import uuid
 
     from ..streaming.bars import RECEIPT_SCHEMA, stream_bars
 
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         import tempfile
 
         root = f"file://{tempfile.mkdtemp(prefix='quotewright-stream-')}"
     base = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
     rows = receipts(spark, d).select(*[c.split()[0] for c in RECEIPT_SCHEMA.split(", ")])
-    rows.repartitionByRange(4, "provider_ts").write.parquet(f"{base}/in")
-    source = spark.readStream.schema(RECEIPT_SCHEMA).option("maxFilesPerTrigger", 1_000).parquet(f"{base}/in")
-    job = stream_bars(source).writeStream.outputMode("append").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).format("parquet").start(f"{base}/out")
-    job.awaitTermination()
-    return spark.read.parquet(f"{base}/out").drop("invalidated_boundary").where("error IS NULL").drop("error")
+    cuts = rows.approxQuantile("ingest_seq", [1 / 3, 2 / 3], 0.01)
+    at = F.col("ingest_seq")
+    for part in (at <= cuts[0], (at > cuts[0]) & (at <= cuts[1]), at > cuts[1]) if cuts else (F.lit(True),):
+        rows.where(part).write.mode("append").parquet(f"{base}/in")
+        source = spark.readStream.schema(RECEIPT_SCHEMA).parquet(f"{base}/in")
+        job = stream_bars(source).writeStream.outputMode("append").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).format("parquet").start(f"{base}/out")
+        job.awaitTermination()
+    out = spark.read.parquet(f"{base}/out").drop("invalidated_boundary")
+    if failed := out.where("error IS NOT NULL").select("symbol", "error").limit(8).collect():
+        raise ValueError(f"streams failed: {[tuple(r) for r in failed]}")
+    return out.drop("error")
 
 
 def _project(spark, d):
     return B.project_v1(bars2(spark, d))
 
 
+def _elapsed(spark, d):
+    return feats(spark, d).select("symbol", "bar_end", elapsed_seconds_log1p(F.col("elapsed_seconds")).alias("elapsed_seconds_log1p"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "scan_ticks": lambda s, d: ticks(s, d),
     "scan_cutoff": lambda s, d: T.scan_range(ticks(s, d), end=START + 6 * HOUR),
@@ -213,6 +225,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "bar_check": lambda s, d: Q.bar_checks(bars1(s, d)),
     "label_bar_check": lambda s, d: Q.label_bar_checks(bars1(s, d)),
     "features_v1": feats,
+    "elapsed_log1p": _elapsed,
     "features_v2": lambda s, d: W.features_v2(bars2(s, d)),
     "tail_context": lambda s, d: W.tail_context(bars1(s, d), START + 8 * HOUR).select("symbol", "bar_end", "mid_close", "quote_count"),
     "labels": labels,
