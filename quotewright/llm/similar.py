@@ -182,9 +182,10 @@ def _fingerprint_pairs(nodes: DataFrame) -> DataFrame:
     return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
-def links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b) pairs of similar nodes: enough of them to keep every connection.
+def components(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, component) by the links of similar nodes: of every node that has a link, and enough links to keep every connection.
 
+    What prefixes link are the components of the links before, so only those meet again, not the nodes.
     ``nodes`` has (node, first, n, keys, fp), where ``first`` is a document of the node; ``texts`` has (id, text).
     """
     bands = nodes.select("node", "n", F.explode("keys").alias("key"))
@@ -212,36 +213,48 @@ def links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     centres = least.select("key", F.explode(F.array(*[f"c{i}" for i in range(CENTRES)])).alias("c")).select("key", "c.node", "c.n").distinct()
     found = verify(_pairs(small, small).union(_pairs(large, centres)).union(close).distinct(), "links")
     discard(close)
+    parts = stored(connected_components(found, "similar-first"), "similar-parts")
+    discard(found)
     if large.isEmpty():
         discard(members, held)
-        return found
-    parts = connected_components(found, "similar-first").withColumnRenamed("node", "x")
-    placed = large.join(parts, F.col("node") == F.col("x"), "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
+        return parts
+    placed = large.join(parts.withColumnRenamed("node", "x"), F.col("node") == F.col("x"), "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
     placed = stored(placed, "similar-placed")
     mixed = placed.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("key")
     rest = stored(placed.join(mixed, "key").select("node", "n", "component").distinct(), "similar-rest")
     discard(members, placed)
     if rest.isEmpty():
         discard(held)
-        return found
+        return parts
     first = _prefixes(rest, held)
     more = verify(_prefix_pairs(first), "more-links")
-    discard(first, rest, held)
-    return found.union(more)
+    discard(first, held)
+    if more.isEmpty():
+        discard(more, rest)
+        return parts
+    one, two = rest.select(F.col("node").alias("a"), F.col("component").alias("x")), rest.select(F.col("node").alias("b"), F.col("component").alias("y"))
+    joined = stored(more.join(one, "a").join(two, "b").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "similar-joined")
+    whole = connected_components(joined, "similar-whole").select(F.col("node").alias("component"), F.col("component").alias("whole"))
+    whole = stored(whole, "similar-whole")
+    # Nodes without an earlier link are components of their own.
+    alone = more.select(F.col("a").alias("node")).union(more.select(F.col("b").alias("node"))).distinct().join(parts, "node", "left_anti")
+    every = parts.union(alone.select("node", F.col("node").alias("component")))
+    every = stored(every.join(whole, "component", "left").select("node", F.coalesce("whole", "component").alias("component")), "similar-every")
+    discard(more, rest, joined, whole, parts)
+    return every
 
 
 def _components(texts: DataFrame) -> DataFrame:
     """(id, node, component_id) for each row of ``texts`` (id, text)."""
     sketches = stored(texts.mapInArrow(_sketches, "id long, node long, n int, keys array<long>, fp long"), "similar-sketches")
     nodes = stored(sketches.groupBy("node").agg(F.min("id").alias("first"), *[F.first(c).alias(c) for c in ("n", "keys", "fp")]), "similar-nodes")
-    edges = stored(links(nodes, texts), "similar-edges")
-    parts = connected_components(edges, "similar")
+    parts = components(nodes, texts)
     named = nodes.select("node", "first").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = stored(named, "similar-named")
     smallest = named.groupBy("component").agg(F.min("first").alias("component_id"))
     ids = named.select("node", "component").join(smallest, "component").select("node", "component_id")
     found = stored(sketches.select("id", "node").join(ids, "node").select("id", "node", "component_id"), "similar-found")
-    discard(edges, nodes, sketches, named)
+    discard(parts, nodes, sketches, named)
     return found
 
 
